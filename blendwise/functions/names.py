@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from blendwise.functions.numbers import round_exact
+
 
 def file_stem(path: Column) -> Column:
     """Base name up to its first dot."""
@@ -41,7 +43,7 @@ def metric_name(domain: Column, kind: str = "loss") -> Column:
 
 def format_weight(weight: Column, precision: int = 5) -> Column:
     """Fixed decimals without trailing zeros: 0, 1, 0.0002."""
-    text = F.format_string(f"%.{precision}f", weight)
+    text = F.format_string(f"%.{precision}f", round_exact(weight, precision))
     if precision == 0:
         return text
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))

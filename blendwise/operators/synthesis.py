@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from blendwise.functions.draws import digest, let, log_gamma_draw, uniform
 from blendwise.operators.ordering import id_bucket, number_rows, running_total
 from blendwise.operators.weights import MAXIMUM_USAGE, TEMPERATURE, normalize_weights, temper, usage_bounds
+from blendwise.session import durable
 
 # Fixed values of the method.
 SEED = 42
@@ -106,7 +107,7 @@ def quantize(samples: DataFrame, minimum: float = MINIMUM) -> DataFrame:
     """
     cut = F.transform("weights", lambda w: F.when(w < minimum, F.lit(0.0)).otherwise(w))
     samples = samples.withColumn("weights", cut).withColumn("weights", _normalized(F.col("weights"), 12))
-    units = F.transform("weights", lambda w: F.bround(w / minimum, 0).cast("int"))
+    units = F.transform("weights", lambda w: F.rint(w / minimum).cast("int"))
     samples = samples.withColumn("units", units)
     return samples.withColumn("weights", F.transform("units", lambda u: u * F.lit(float(minimum))))
 
@@ -195,11 +196,12 @@ def synthesize_mixtures(
     Bounds come from the prior before smoothing; candidates are rejected before cutting and rounding.
     """
     keyed = prior.select(F.lit(0).alias("index"), "domain", F.col("prior").alias("weight"))
-    shares = normalize_weights(keyed)
+    # One row per domain, used three times below: stored, so that counting the corpus is not repeated.
+    shares = durable(normalize_weights(keyed))
     bounds = usage_bounds(shares, max_usage, "weight").select("domain", "bound")
     smooth = temper(shares, temperature).select("domain", F.col("weight").alias("prior"))
     samples = dirichlet_sample(smooth, num * multiplier, seed, grid or strength_grid())
     if enable_bound:
         samples = reject_out_of_bounds(samples, bounds)
     samples = dedup_mixtures(quantize(samples, minimum))
-    return explode_samples(choose_configs(samples, num, seed), prior, ("index",))
+    return explode_samples(choose_configs(samples, num, seed), shares, ("index",))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blendwise.functions.numbers import round_exact
 from blendwise.operators.ordering import join_same
 
 # Fixed values of the method.
@@ -52,7 +53,7 @@ def clean_weights(raw: DataFrame, value: str = "value") -> DataFrame:
     whole = F.col(value).rlike(r"^\s*[+-]?\d+\s*$")
     return (
         raw.where(F.startswith("domain", F.lit("train_")) & number.isNotNull())
-        .withColumn("weight", F.when(whole, number).otherwise(F.round(number, WEIGHT_DIGITS)))
+        .withColumn("weight", F.when(whole, number).otherwise(round_exact(number, WEIGHT_DIGITS)))
         .drop(value)
     )
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blendwise.functions.names import format_weight
+from blendwise.sources.files import rename_parts
 
 ENTRIES = "index long, split string, domain string, value string, params map<string,string>"
 
@@ -55,16 +58,7 @@ def render_configs(weights: DataFrame, params: dict | None = None, precision: in
 
 
 def write_mixture_configs(weights: DataFrame, folder: str, params: dict | None = None, precision: int = 5) -> None:
-    """Write one file per config. Executors write their own rows straight to the shared folder.
-
-    Spark names its output files itself, so the index goes into the folder name ``index=<k>``;
-    ``read_written_configs`` reads it back from there.
-    """
-    documents = render_configs(weights, params, precision)
-    documents.repartition("index").write.mode("overwrite").partitionBy("index").option("lineSep", "\n").text(folder)
-
-
-def read_written_configs(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of configs written by ``write_mixture_configs``."""
-    documents = spark.read.text(folder, wholetext=True).select(F.col("index").cast("long").alias("index"), "value")
-    return documents.mapInPandas(_parse_batches, ENTRIES)
+    """Write ``n<index>.yaml`` for every config; an existing file of that name is an error."""
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    render_configs(weights, params, precision).repartition("index").write.partitionBy("index").text(staged)
+    rename_parts(weights.sparkSession, staged, folder, lambda index, part: f"n{index}.yaml")
