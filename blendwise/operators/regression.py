@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendwise.functions.draws import digest, uniform
+from blendwise.operators.synthesis import attach_domains
 
 # Fixed values of the method.
 SIMULATIONS = 100_000
@@ -84,6 +85,13 @@ def predict(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+def predict_linear(samples: DataFrame, coefficients: DataFrame, intercept: float = 0.0) -> DataFrame:
+    """Predictions from a table (domain, coefficient), without moving the samples."""
+    product = F.zip_with("weights", "_domains", lambda w, d: w * d["coefficient"])
+    total = F.aggregate(product, F.lit(float(intercept)), lambda acc, v: acc + v)
+    return attach_domains(samples, coefficients, "coefficient").withColumn("prediction", total).drop("_domains")
+
+
 def rmse(model: Model, df: DataFrame, target: str) -> float:
     return RegressionEvaluator(labelCol=target, metricName="rmse").evaluate(model.transform(df))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blendwise.functions.draws import digest, uniform
-from blendwise.operators.ordering import average_ranks, join_same, number_rows
+from blendwise.operators.ordering import average_ranks, id_bucket, join_same, number_rows
 from blendwise.operators.weights import is_zero
 
 # Bins of the text report, of the weight plots and of the simulated losses.
@@ -78,8 +78,9 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = ("domain",), bins:
 
 
 def _with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate as scalar subqueries."""
-    return df.select("*", *[row.select(c).scalar().alias(c) for c in row.columns])
+    """Add the columns of a one-row aggregate, as one scalar subquery."""
+    together = df.withColumn("_row", row.select(F.struct(*row.columns)).scalar())
+    return together.select(*df.columns, "_row.*")
 
 
 def zero_counts(weights: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def mixture_summary(
 ) -> DataFrame:
     """Mean weight per domain and type with a bootstrap interval of the mean.
 
-    Each replica draws as many rows as the group has. Draws are first counted per row, so a row is fetched once
-    however many replicas use it.
+    Each replica draws as many rows as the group has. Draws are spread over replicas and slices of the group, and
+    means combine before their shuffle, so neither a large group nor a large replica stays in one task.
     """
     by = list(by)
     numbered = number_rows(weights.select(*by, *key, "weight"), by, list(key), "_place")
@@ -130,12 +131,10 @@ def mixture_summary(
     slots = join_same(numbered.select(*by, F.col("_place").alias("_slot")), totals.select(*by, "n"), by)
     slots = slots.withColumn("_replica", F.explode(F.sequence(F.lit(0), F.lit(boot - 1))))
     u = uniform(digest(seed, "boot", *[F.col(c) for c in by], F.col("_replica"), F.col("_slot")))
-    picks = slots.select(*by, "_replica", F.floor(u * F.col("n")).alias("_place"))
-    picks = picks.groupBy(*by, "_replica", "_place").agg(F.count(F.lit(1)).alias("_times"))
+    spread = slots.repartition(*by, "_replica", id_bucket(F.col("_slot")))
+    picks = spread.select(*by, "_replica", F.floor(u * F.col("n")).alias("_place"))
     drawn = join_same(picks, numbered.select(*by, "_place", "weight"), [*by, "_place"])
-    means = drawn.groupBy(*by, "_replica").agg(
-        (F.sum(F.col("weight") * F.col("_times")) / F.sum("_times")).alias("_mean")
-    )
+    means = drawn.groupBy(*by, "_replica").agg(F.avg("weight").alias("_mean"))
     # At most ``boot`` values per group.
     tail = (1 - level) / 2
     ends = means.groupBy(*by).agg(

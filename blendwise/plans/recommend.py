@@ -20,7 +20,8 @@ def simulate(model, prior: DataFrame, n: int = reg.SIMULATIONS, seed: int = SEED
 
 
 def loss_histogram(simulated: DataFrame, bins: int = LOSS_BINS) -> DataFrame:
-    return histogram(simulated, "prediction", (), bins)
+    """Histogram of predictions, which are stored because range and counts both need them."""
+    return histogram(durable(simulated.select("prediction")), "prediction", (), bins)
 
 
 def fit_and_score(mix: DataFrame, loss: DataFrame, domains: list[str], target: str, **options):
