@@ -44,10 +44,10 @@ def log_gamma_draw(shape: Column, *key) -> Column:
     """Logarithm of a Gamma(shape, 1) draw for any shape above zero.
 
     Marsaglia and Tsang's method (2000) for shape + 1, then the power-of-uniform boost, kept in log space because
-    tiny shapes underflow otherwise. Attempts are evaluated lazily, one after the other.
+    tiny shapes underflow otherwise. Attempts after the accepted one are not evaluated.
     """
 
-    def attempt(number: int, d: Column) -> Column:
+    def attempt(number: Column, d: Column) -> Column:
         def accepted(hashed: Column, x: Column, v: Column) -> Column:
             bound = 0.5 * x * x + d - d * v + d * F.log(v)
             drawn = F.log(d) + F.log(v) + F.log(uniform(hashed, 3)) / shape
@@ -61,8 +61,10 @@ def log_gamma_draw(shape: Column, *key) -> Column:
             ),
         )
 
-    def chain(d: Column) -> Column:
-        exhausted = F.raise_error(F.lit("no gamma attempt was accepted")).cast("double")
-        return F.coalesce(*[attempt(number, d) for number in range(ATTEMPTS)], exhausted)
+    def first_accepted(d: Column) -> Column:
+        numbers = F.array(*[F.lit(number) for number in range(ATTEMPTS)])
+        nothing = F.lit(None).cast("double")
+        found = F.aggregate(numbers, nothing, lambda found, number: F.coalesce(found, attempt(number, d)))
+        return F.coalesce(found, F.raise_error(F.lit("no gamma attempt was accepted")).cast("double"))
 
-    return let(shape + F.lit(1.0 - 1.0 / 3.0), chain)
+    return let(shape + F.lit(1.0 - 1.0 / 3.0), first_accepted)
