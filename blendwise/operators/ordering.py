@@ -56,16 +56,21 @@ def running_total(
     else:
         placed = placed.withColumn("_bucket", bucket)
     whole = Window.unboundedPreceding
-    within = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(whole, -1)
+    # One key that is never NULL: NULL groups match themselves, and the join below finds rows already partitioned.
+    placed = placed.withColumn("_key", F.struct(*group, "_bucket"))
+    within = Window.partitionBy("_key").orderBy(*order).rowsBetween(whole, -1)
     across = Window.partitionBy(*group or [F.lit(0)]).orderBy("_bucket").rowsBetween(whole, -1)
     offsets = (
         placed.groupBy(*group, "_bucket")
         .agg(F.sum("_value").alias("_total"))
-        .select(*group, "_bucket", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
+        .select(
+            F.struct(*group, "_bucket").alias("_key"),
+            F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"),
+        )
     )
-    local = placed.withColumn("_local", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    joined = join_same(local, offsets, [*group, "_bucket"])
-    return joined.withColumn(out, F.col("_local") + F.col("_offset")).drop("_value", "_bucket", "_local", "_offset")
+    local = placed.drop("_bucket").withColumn("_local", F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    joined = local.join(offsets, "_key").withColumn(out, F.col("_local") + F.col("_offset"))
+    return joined.drop("_key", "_value", "_local", "_offset")
 
 
 def number_rows(

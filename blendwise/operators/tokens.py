@@ -43,7 +43,9 @@ def build_vocab(df: DataFrame, max_size: int, tokens: str = "tokens") -> DataFra
 
     Counting combines before its shuffle; only the at most ``max_size`` kept rows are numbered in one place.
     """
-    counts = df.select(F.explode(tokens).alias("token")).where(~F.col("token").isin(*SPECIALS))
+    # The outer form: for the inner one Spark adds a size check that would tokenize every text a second time.
+    each = df.select(F.explode_outer(tokens).alias("token"))
+    counts = each.where(F.col("token").isNotNull() & ~F.col("token").isin(*SPECIALS))
     counts = counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     kept = counts.orderBy(F.desc("n"), "token").limit(max(max_size - len(SPECIALS), 0))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))

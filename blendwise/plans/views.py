@@ -133,8 +133,10 @@ losses AS (SELECT l_suppkey AS "index", avg(l_extendedprice / l_quantity) AS pri
 
 
 def ranked_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with their place ``seq`` in the run (user), from 0."""
-    events = table(spark, folder, "events").withColumnRenamed("user_id", "run")
+    """Events with their place ``seq`` in the run (user), from 0. Ranked rows are stored, so only used columns go in."""
+    events = table(spark, folder, "events").select(
+        F.col("user_id").alias("run"), "event_id", "ts", "event_type", "value"
+    )
     return number_rows(events, ["run"], ["ts", "event_id"], "seq")
 
 
