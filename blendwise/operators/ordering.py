@@ -49,28 +49,23 @@ def running_total(
     """
     group, order = list(group), list(order)
     value = F.lit(1).cast("long") if value is None else value
-    placed = df.withColumn("_value", value)
+    placed = df.withColumn("__value", value)
     if bucket is None:
         ranged = placed.repartitionByRange(*[F.col(c) for c in (*group, *order)])
-        placed = durable(ranged.withColumn("_bucket", F.spark_partition_id().cast("long")))
+        placed = durable(ranged.withColumn("__bucket", F.spark_partition_id().cast("long")))
     else:
-        placed = placed.withColumn("_bucket", bucket)
+        placed = placed.withColumn("__bucket", bucket)
     whole = Window.unboundedPreceding
     # One key that is never NULL: NULL groups match themselves, and the join below finds rows already partitioned.
-    placed = placed.withColumn("_key", F.struct(*group, "_bucket"))
-    within = Window.partitionBy("_key").orderBy(*order).rowsBetween(whole, -1)
-    across = Window.partitionBy(*group or [F.lit(0)]).orderBy("_bucket").rowsBetween(whole, -1)
-    offsets = (
-        placed.groupBy(*group, "_bucket")
-        .agg(F.sum("_value").alias("_total"))
-        .select(
-            F.struct(*group, "_bucket").alias("_key"),
-            F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"),
-        )
-    )
-    local = placed.drop("_bucket").withColumn("_local", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    joined = local.join(offsets, "_key").withColumn(out, F.col("_local") + F.col("_offset"))
-    return joined.drop("_key", "_value", "_local", "_offset")
+    key = F.struct(*group, "__bucket").alias("__place")
+    within = Window.partitionBy("__place").orderBy(*order).rowsBetween(whole, -1)
+    across = Window.partitionBy(*group or [F.lit(0)]).orderBy("__bucket").rowsBetween(whole, -1)
+    totals = placed.groupBy(*group, "__bucket").agg(F.sum("__value").alias("__total"))
+    offsets = totals.select(key, F.coalesce(F.sum("__total").over(across), F.lit(0)).alias("__offset"))
+    local = placed.select(*df.columns, "__value", key)
+    local = local.withColumn("__local", F.coalesce(F.sum("__value").over(within), F.lit(0)))
+    joined = local.join(offsets, "__place")
+    return joined.select(*df.columns, (F.col("__local") + F.col("__offset")).alias(out))
 
 
 def number_rows(

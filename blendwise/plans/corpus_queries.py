@@ -52,7 +52,7 @@ def read_corpus(spark, folder):
     """Documents as JSON lines in ``train/<domain>-<n>.jsonl``, read back and counted."""
     root = scratch(spark, "corpus")
     docs = views.corpus(spark, folder).select("domain", "text")
-    docs.write.partitionBy("domain").json(f"{root}/staged")
+    docs.hint("rebalance", "domain").write.partitionBy("domain").json(f"{root}/staged")
     rename_parts(spark, f"{root}/staged", f"{root}/train", lambda domain, part: f"{domain}-{part}.jsonl")
     found = tokens.count_tokens(corpus_source.read_corpus(spark, root, "train"))
     return weights.token_distribution(found).select("domain", "n_docs", "n_tokens")

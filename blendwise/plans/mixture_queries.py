@@ -351,12 +351,36 @@ def dedup_mixtures(spark, folder):
     return kept.select("sample_id", F.array_join(F.col("units").cast("array<string>"), " ").alias("units"))
 
 
-@query("m5_dedup_close")
+CLOSE = f"""
+shifted AS (SELECT "index" * 2 AS sample_id, domain, weight FROM mix
+            UNION ALL
+            SELECT "index" * 2 + 1, domain, weight + CASE domain WHEN '{BRANDS[0]}' THEN 1e-6 WHEN '{BRANDS[1]}' THEN -1e-6 ELSE 0e0 END
+            FROM mix),
+rows_in_order AS (SELECT sample_id, v, row_number() OVER (ORDER BY list_reverse(v)) AS place FROM (
+                    SELECT sample_id, list(weight ORDER BY domain) AS v FROM shifted GROUP BY sample_id)),
+walk AS (SELECT place, sample_id, v AS last, true AS keep FROM rows_in_order WHERE place = 1
+         UNION ALL
+         SELECT place, sample_id, CASE WHEN far THEN v ELSE last END AS last, far AS keep FROM (
+           SELECT o.place AS place, o.sample_id AS sample_id, v, last,
+                  list_sum(list_transform(list_zip(v, last), lambda p: abs(p[1] - p[2]))) > {synthesis.DUPLICATE_DISTANCE!r}::DOUBLE AS far
+           FROM walk JOIN rows_in_order AS o ON o.place = walk.place + 1))
+"""
+
+
+@query(
+    "m5_dedup_close",
+    with_ctes("SELECT sample_id, 25::BIGINT AS n_domains FROM walk WHERE keep", MIXTURE, CLOSE, recursive=True),
+)
 def dedup_close(spark, folder):
-    """The sequential rule on the mixtures of all configs, with a distance of 0.05."""
+    """The sequential rule on the mixtures of all configs, each with a copy moved by less than the distance."""
+    mix = views.mixtures(spark, folder)
+    step = F.when(F.col("domain") == BRANDS[0], 1e-6).when(F.col("domain") == BRANDS[1], -1e-6).otherwise(0.0)
+    both = mix.select((F.col("index") * 2).alias("sample_id"), "domain", "weight").unionByName(
+        mix.select((F.col("index") * 2 + 1).alias("sample_id"), "domain", (F.col("weight") + step).alias("weight"))
+    )
     vector = F.transform(F.sort_array(F.collect_list(F.struct("domain", "weight"))), lambda p: p["weight"])
-    mix = views.mixtures(spark, folder).groupBy(F.col("index").alias("sample_id")).agg(vector.alias("weights"))
-    return synthesis.dedup_close(mix, 0.05).select("sample_id", F.size("weights").cast("long").alias("n_domains"))
+    found = synthesis.dedup_close(both.groupBy("sample_id").agg(vector.alias("weights")))
+    return found.select("sample_id", F.size("weights").cast("long").alias("n_domains"))
 
 
 CHOOSE = f"""

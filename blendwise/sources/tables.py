@@ -39,9 +39,12 @@ def write_metrics(df: DataFrame, path: str, key: str = "step") -> None:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Packed chunks, one folder per split and domain. A domain is written by many tasks, so a hot one does not
-    wait for a single writer."""
-    chunks.write.mode("overwrite").partitionBy("split", "domain").parquet(path)
+    """Packed chunks, one folder per split and domain.
+
+    Rebalancing brings a domain's chunks together, so that not every task writes a file for every domain, and
+    splits a hot domain over several writers.
+    """
+    chunks.hint("rebalance", "split", "domain").write.mode("overwrite").partitionBy("split", "domain").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, domains: Sequence[str] | DataFrame | None = None) -> DataFrame:
