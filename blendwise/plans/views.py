@@ -28,9 +28,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def rounded(column: Column | str) -> Column:
-    """Six decimals, and no negative zero."""
+    """Six decimals, halves away from zero on the binary value as in SQL, and no negative zero."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, DIGITS) + F.lit(0.0)
+    factor = F.lit(10.0**DIGITS)
+    return F.signum(column) * F.floor(F.abs(column) * factor + 0.5) / factor + F.lit(0.0)
 
 
 def r(expression: str) -> str:

@@ -60,5 +60,8 @@ def render_configs(weights: DataFrame, params: dict | None = None, precision: in
 def write_mixture_configs(weights: DataFrame, folder: str, params: dict | None = None, precision: int = 5) -> None:
     """Write ``n<index>.yaml`` for every config; an existing file of that name is an error."""
     staged = f"{folder}/_staged-{uuid.uuid4().hex}"
-    render_configs(weights, params, precision).repartition("index").write.partitionBy("index").text(staged)
-    rename_parts(weights.sparkSession, staged, folder, lambda index, part: f"n{index}.yaml")
+    spark = weights.sparkSession
+    # Many tiny files: the number of files counts, not their size, so all cores write.
+    spread = render_configs(weights, params, precision).repartition(spark.sparkContext.defaultParallelism, "index")
+    spread.write.partitionBy("index").text(staged)
+    rename_parts(spark, staged, folder, lambda index, part: f"n{index}.yaml")
