@@ -68,8 +68,7 @@ def drop_sparse_domains(weights: DataFrame, files: DataFrame, min_files: int, gr
     known = known.withColumn("n_files", F.coalesce("n_files", F.lit(0).cast("long")))
     enough = F.col("n_files") >= min_files
     if group is None:
-        kept = known.where(enough).withColumn("_all", F.lit(0))
-        return normalize_weights(kept, ["_all"]).drop("_all")
+        return normalize_weights(known.where(enough), ())
     good = known.groupBy(group).agg(F.bool_and(enough).alias("_good")).where("_good").select(group)
     return normalize_weights(known.join(good, group, "left_semi"), [group])
 

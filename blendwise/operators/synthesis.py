@@ -195,11 +195,10 @@ def synthesize_mixtures(
 
     Bounds come from the prior before smoothing; candidates are rejected before cutting and rounding.
     """
-    keyed = prior.select(F.lit(0).alias("index"), "domain", F.col("prior").alias("weight"))
     # One row per domain, used three times below: stored, so that counting the corpus is not repeated.
-    shares = durable(normalize_weights(keyed))
+    shares = durable(normalize_weights(prior.select("domain", F.col("prior").alias("weight")), ()))
     bounds = usage_bounds(shares, max_usage, "weight").select("domain", "bound")
-    smooth = temper(shares, temperature).select("domain", F.col("weight").alias("prior"))
+    smooth = temper(shares, temperature, ()).select("domain", F.col("weight").alias("prior"))
     samples = dirichlet_sample(smooth, num * multiplier, seed, grid or strength_grid())
     if enable_bound:
         samples = reject_out_of_bounds(samples, bounds)

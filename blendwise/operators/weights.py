@@ -28,9 +28,13 @@ def token_distribution(docs: DataFrame, domain: str = "domain", n_tokens: str =
 
 
 def normalize_weights(weights: DataFrame, by: Sequence[str] = ("index",), value: str = "weight") -> DataFrame:
-    """Divide by the sum within each config. Sums are combined before the shuffle, and a config without any
-    weight yields NULL rather than an error."""
+    """Divide by the sum within each config, or by the sum of all rows if ``by`` is empty.
+
+    Sums are combined before the shuffle, and a config without any weight yields NULL rather than an error.
+    """
     totals = weights.groupBy(*by).agg(F.sum(value).alias("_sum"))
+    if not by:
+        return weights.withColumn(value, F.try_divide(F.col(value), totals.scalar()))
     joined = join_same(weights, totals, list(by))
     return joined.withColumn(value, F.try_divide(F.col(value), F.col("_sum"))).drop("_sum")
 

@@ -168,9 +168,8 @@ def token_distribution(spark, folder):
 )
 def prior_plan(spark, folder):
     """Token share per domain, smoothed share and usage bound."""
-    dist = weights.usage_bounds(views.distribution(spark, folder))
-    keyed = dist.withColumn("index", F.lit(0)).withColumn("smoothed", F.col("prior"))
-    return weights.temper(keyed, value="smoothed").select(
+    dist = weights.usage_bounds(views.stored_distribution(spark, folder))
+    return weights.temper(dist.withColumn("smoothed", F.col("prior")), by=(), value="smoothed").select(
         "domain", "n_docs", "n_tokens", rounded("prior").alias("prior"), rounded("smoothed").alias("smoothed"),
         rounded("bound").alias("bound"),
     )

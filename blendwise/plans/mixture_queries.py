@@ -256,8 +256,7 @@ firsts AS (SELECT min(sample_id) AS sample_id, units FROM vectors GROUP BY units
 
 
 def candidates(dist):
-    prior = dist.select(F.lit(0).alias("index"), "domain", F.col("prior").alias("weight"))
-    smooth = weights.temper(prior).select("domain", F.col("weight").alias("prior"))
+    smooth = weights.temper(dist.select("domain", "prior"), by=(), value="prior")
     return synthesis.dirichlet_sample(smooth, CANDIDATES, SEED, GRID)
 
 

@@ -99,7 +99,7 @@ def labelled_files(spark, folder):
 )
 def drop_sparse_domains(spark, folder):
     found, least = labelled_files(spark, folder)
-    prior = views.distribution(spark, folder).select("domain", F.col("prior").alias("weight"))
+    prior = views.stored_distribution(spark, folder).select("domain", F.col("prior").alias("weight"))
     return sampling.drop_sparse_domains(prior, found, least).withColumn("weight", rounded("weight"))
 
 
@@ -119,7 +119,7 @@ def drop_sparse_groups(spark, folder):
     """Validation groups of one or two domains."""
     found, least = labelled_files(spark, folder)
     number = F.pmod(F.substring("domain", 4, 9).cast("int"), F.lit(12)).cast("string")
-    prior = views.distribution(spark, folder).select(
+    prior = views.stored_distribution(spark, folder).select(
         F.concat(F.lit("group"), number).alias("grp"), "domain", F.col("prior").alias("weight")
     )
     kept = sampling.drop_sparse_domains(prior, found, least, "grp")
@@ -156,8 +156,8 @@ def numbered_blocks(blocks):
 
 
 def wanted(spark, folder):
-    prior = views.distribution(spark, folder).select(F.lit(0).alias("index"), "domain", F.col("prior").alias("weight"))
-    return weights.temper(prior).select("domain", "weight")
+    prior = views.stored_distribution(spark, folder).select("domain", F.col("prior").alias("weight"))
+    return weights.temper(prior, by=())
 
 
 @query(

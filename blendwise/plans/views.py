@@ -103,9 +103,7 @@ def mixtures(spark: SparkSession, folder: str) -> DataFrame:
 def brand_prior(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each brand in all quantities."""
     totals = mixture_units(spark, folder).groupBy("domain").agg(F.sum("weight").alias("weight"))
-    return normalize_weights(totals.withColumn("_all", F.lit(0)), ["_all"]).select(
-        "domain", F.col("weight").alias("prior")
-    )
+    return normalize_weights(totals, ()).select("domain", F.col("weight").alias("prior"))
 
 
 def losses(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_corpus_order_survives_splits(spark, tmp_path):
     write_corpus(tmp_path, {"news-0.jsonl": texts})
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        docs = tokenize(corpus.read_corpus(spark, str(tmp_path)), eos=False)
+        docs = tokenize(corpus.read_corpus(spark, str(tmp_path), numbered=True), eos=False)
         assert docs.rdd.getNumPartitions() > 1
         chunks = pack_chunks(docs, 100, order=("block_start", "row_id"), bucket=corpus.block_bucket())
         found = [t for r in chunks.orderBy("chunk_no").collect() for t in r.tokens]
