@@ -8,7 +8,6 @@ from blendwise.functions import names
 from blendwise.operators import runs, stats, synthesis, weights
 from blendwise.plans import views
 from blendwise.plans.views import (
-    BRAND_PRIOR,
     BRANDS,
     CORPUS,
     DISTRIBUTION,
@@ -225,14 +224,17 @@ def plot_histogram(spark, folder):
 # --- synthesis -------------------------------------------------------------------------------------------------
 
 
+GRID_SQL = "[" + ", ".join(f"{s!r}::DOUBLE" for s in GRID) + "]"
+STRENGTH_U = sql_uniform(sql_digest(SEED, "'strength'", "sample_id"))
+STRENGTH_PLACE = f"floor({STRENGTH_U} * {len(GRID)})::BIGINT + 1"
+
+
 def sampled_sql(candidates: int) -> str:
     """CTEs up to ``rounded_units``: drawn, bounded, cut and rounded candidates."""
-    grid = "[" + ", ".join(f"{s!r}::DOUBLE" for s in GRID) + "]"
-    u = sql_uniform(sql_digest(SEED, "'strength'", "sample_id"))
     return f"""
 smooth AS (SELECT domain, sqrt(prior) / sum(sqrt(prior)) OVER () AS prior FROM prior),
 bounds AS (SELECT domain, least(prior * {weights.MAXIMUM_USAGE}, 1e0) AS bound FROM prior),
-samples AS (SELECT sample_id, {grid}[floor({u} * {len(GRID)})::BIGINT + 1] AS strength
+samples AS (SELECT sample_id, {GRID_SQL}[{STRENGTH_PLACE}] AS strength
             FROM (SELECT unnest(range({candidates})) AS sample_id)),
 {sql_dirichlet('samples', 'smooth', SEED)},
 inside AS (SELECT sample_id FROM simplex JOIN bounds USING (domain) GROUP BY sample_id
@@ -270,12 +272,9 @@ def sample_rows(dist, samples, keys=("sample_id",)):
 
 @query(
     "m1_strength_grid",
-    with_ctes(
-        f"""SELECT {r('strength')} AS strength, count(*)::BIGINT AS n FROM (
-              SELECT [{', '.join(f'{s!r}::DOUBLE' for s in GRID)}][floor({sql_uniform(sql_digest(SEED, "'strength'", 'sample_id'))} * {len(GRID)})::BIGINT + 1] AS strength
-              FROM (SELECT unnest(range((SELECT count(*) FROM lineitem))) AS sample_id)) GROUP BY 1""",
-        "none AS (SELECT 1)",
-    ),
+    f"""WITH samples AS (SELECT unnest(range((SELECT count(*) FROM lineitem))) AS sample_id)
+        SELECT {r('strength')} AS strength, count(*)::BIGINT AS n
+        FROM (SELECT {GRID_SQL}[{STRENGTH_PLACE}] AS strength FROM samples) GROUP BY 1""",
 )
 def strength_grid(spark, folder):
     """How often each strength is picked, with one candidate per line item."""

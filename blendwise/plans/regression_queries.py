@@ -47,12 +47,16 @@ def table(spark, folder):
     return regression.assemble(joined, BRANDS).select("index", "features", *TARGETS)
 
 
+POSITIONS = " + ".join(f'{i + 1} * coalesce("{b}", 0e0)' for i, b in enumerate(BRANDS))
+CELLS = ", ".join(f"""max(CASE WHEN domain = '{b}' THEN weight END) AS "{b}" """ for b in BRANDS)
+
+
 @query(
     "r1_assemble",
     with_ctes(
-        f"""SELECT "index", 25::BIGINT AS n_features, {r(' + '.join(f'{i + 1} * coalesce("{b}", 0e0)' for i, b in enumerate(BRANDS)))} AS position_sum
-            FROM (SELECT "index", {', '.join(f"max(CASE WHEN domain = '{b}' THEN weight END) AS " + f'"{b}"' for b in BRANDS)} FROM mix GROUP BY 1)""",
+        f"""SELECT "index", 25::BIGINT AS n_features, {r(POSITIONS)} AS position_sum FROM wide""",
         MIXTURE,
+        f"""wide AS (SELECT "index", {CELLS} FROM mix GROUP BY 1)""",
     ),
 )
 def assemble(spark, folder):

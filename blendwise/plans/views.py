@@ -207,7 +207,9 @@ def sql_dirichlet(samples: str, prior: str, seed: int) -> str:
 
     def step(number: str, source: str) -> str:
         inner = f"SELECT sample_id, domain, a, {number} AS k, {sql_digest(seed, 'sample_id', 'domain', number)} AS h {source}"
-        return f"SELECT sample_id, domain, a, k, h, x, v, coalesce({accept}, false) AS ok FROM (SELECT *, {v.replace(x, 'x')} AS v FROM (SELECT *, {x} AS x FROM ({inner})))"
+        with_x = f"SELECT *, {x} AS x FROM ({inner})"
+        with_v = f"SELECT *, {v.replace(x, 'x')} AS v FROM ({with_x})"
+        return f"SELECT sample_id, domain, a, k, h, x, v, coalesce({accept}, false) AS ok FROM ({with_v})"
 
     first = step("0", f"FROM (SELECT sample_id, domain, prior * strength AS a FROM {samples}, {prior})")
     later = step("(k + 1)", f"FROM attempts WHERE NOT ok AND k < {ATTEMPTS - 1}")

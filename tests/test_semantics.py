@@ -167,10 +167,10 @@ def test_strength_grid_is_logarithmic():
 
 
 def test_dash_keeps_prefixes_apart(spark):
-    files = spark.createDataFrame([("pile-0.bin",), ("pile_cc-0.bin",), ("a-b-1.bin",)], "name string")
-    keys = spark.createDataFrame([("pile",), ("a",), ("a-b",)], "key string")
+    files = spark.createDataFrame([("news-0.bin",), ("news_cc-0.bin",), ("a-b-1.bin",)], "name string")
+    keys = spark.createDataFrame([("news",), ("a",), ("a-b",)], "key string")
     assert rows(tokens.match_domain(files, keys), "key", "name") == [
-        ("a", "a-b-1.bin"), ("a-b", "a-b-1.bin"), ("pile", "pile-0.bin")
+        ("a", "a-b-1.bin"), ("a-b", "a-b-1.bin"), ("news", "news-0.bin")
     ]
 
 

@@ -5,7 +5,6 @@ import os
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from blendwise.operators.packing import pack_chunks
 from blendwise.operators.tokens import tokenize
