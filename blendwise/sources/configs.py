@@ -25,21 +25,26 @@ def read_mixture_configs(spark: SparkSession, folder: str, pattern: str = "*.yam
     number = F.replace(name, F.lit("n"), F.lit("")).try_cast("long")
     wrong = F.raise_error(F.concat(F.lit("config name is not n<index>: "), name)).cast("long")
     documents = files.select(F.coalesce(number, wrong).alias("index"), "value")
-    return documents.mapInPandas(_parse_batches, ENTRIES)
+    return documents.mapInPandas(_parser(), ENTRIES)
 
 
-def _parse_batches(frames):
-    import yaml
+def _parser():
+    """The function for the tasks. Being nested it travels by value, so workers need not have this package."""
 
-    for frame in frames:
-        rows = []
-        for index, text in zip(frame["index"], frame["value"]):
-            config = yaml.safe_load(text) or {}
-            params = {str(k): str(v) for k, v in config.items() if k not in ("train", "valid")}
-            for split in ("train", "valid"):
-                for domain, value in (config.get(split) or {}).items():
-                    rows.append((index, split, str(domain), None if value is None else str(value), params))
-        yield pd.DataFrame(rows, columns=["index", "split", "domain", "value", "params"])
+    def parse(frames):
+        import yaml
+
+        for frame in frames:
+            rows = []
+            for index, text in zip(frame["index"], frame["value"]):
+                config = yaml.safe_load(text) or {}
+                params = {str(k): str(v) for k, v in config.items() if k not in ("train", "valid")}
+                for split in ("train", "valid"):
+                    for domain, value in (config.get(split) or {}).items():
+                        rows.append((index, split, str(domain), None if value is None else str(value), params))
+            yield pd.DataFrame(rows, columns=["index", "split", "domain", "value", "params"])
+
+    return parse
 
 
 def render_configs(weights: DataFrame, params: dict | None = None, precision: int = 5) -> DataFrame:
