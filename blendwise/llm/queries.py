@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendwise.llm import decontamination, jaccard, pii, sharding
+from blendwise.llm import decontamination, jaccard, packing, pii, sharding
 from blendwise.llm.common import table
 
 QUERIES: dict = {}
@@ -54,6 +54,11 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+@query
+def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), with_ids=False)
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, folder, "documents"))
