@@ -49,6 +49,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def in_sample(key: Column, share: Column | float) -> Column:
+    """True for about ``share`` of the keys, chosen by their hash: repeatable, and decided row by row."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node of its component.
 

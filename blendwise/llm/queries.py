@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendwise.llm import decontamination, jaccard, packing, pii, sharding
+from blendwise.llm import decontamination, jaccard, language, packing, pii, quality, sharding, toxicity
 from blendwise.llm.common import table
 
 QUERIES: dict = {}
@@ -65,11 +65,50 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def held_out(folds: int, remainder: int):
+    """Documents that no model may learn from, by the checksum of their id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == remainder
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~held_out(5, 0)))
+    return language.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_shard_ring(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def _judged(scores: DataFrame, held) -> DataFrame:
+    return scores.select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted")
+    )
+
+
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame | None = None):
+    """Fitted on the labelled documents outside the held-out part."""
+    docs = table(spark, folder, "documents") if docs is None else docs
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out(5, 0))
+    return toxicity.train(docs.select("doc_id", "text").where(~held_out(5, 0)), labels)
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return _judged(toxicity.score(docs, toxicity_model(spark, folder)), held_out(5, 0))
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    model = quality.train(docs.where(~held_out(3, 1)), labels.where(~held_out(3, 1)))
+    return _judged(quality.score(docs, model), held_out(3, 1))
+
+
 def _joined(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
