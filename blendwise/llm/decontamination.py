@@ -16,39 +16,58 @@ from blendwise.session import durable
 
 SPAN = 13
 GRAM = 5
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
+PLACE = "struct<hash:bigint,low:int,place:int,around:array<string>>"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased (A-Z) runs of digits, letters and characters beyond ASCII; NULL has none."""
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD), "")
+    """Runs of digits, letters and characters beyond ASCII, as written; NULL has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")
 
 
-def grams(words: Column, n: Column, size: int) -> Column:
-    """Array of (hash, place) of every ``size`` consecutive words; empty where there are fewer."""
-    return let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.transform(
-            F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(size)]).alias("hash"), i.alias("place")),
-        ),
-    )
+def folded(word: Column) -> Column:
+    """A-Z lower-cased. The quick function also changes other letters, so only plain ASCII words may take it."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(lower_ascii(word))
+
+
+def _upto(last: Column) -> Column:
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def fingerprints(words: Column, n: Column, span: int = SPAN, gram: int = GRAM) -> Column:
-    """The smallest (hash, place) of each window of ``span`` words, each once; empty below ``span`` words.
+    """Array of (hash, place): the smallest gram hash of each window of ``span`` words, each choice once.
 
-    Equal windows choose equal hashes: places only break ties, and do so alike on both sides.
+    Below ``span`` words there is none. The low four bits of a hash give way to those of its place, so that the
+    minimum carries its place along; equal windows still choose equal hashes.
     """
     per_window = span - gram + 1
+    if per_window > 16:
+        raise ValueError("at most 16 grams per window")
+    hashes = F.transform(words, lambda w: F.xxhash64(folded(w)))
+    grams = let(
+        hashes,
+        lambda h: F.transform(
+            _upto(n - gram),
+            lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(gram)]).bitwiseAND(F.lit(~15)).bitwiseOR(
+                i.cast("long").bitwiseAND(F.lit(15))
+            ),
+        ),
+    )
+    smallest = let(
+        grams,
+        lambda g: F.transform(_upto(n - span), lambda i: F.least(*[F.get(g, i + j) for j in range(per_window)]))
+        if per_window > 1
+        else g,
+    )
     return let(
-        grams(words, n, gram),
-        lambda g: F.array_distinct(
-            F.transform(
-                F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>")),
-                lambda i: F.least(*[F.get(g, i + j) for j in range(per_window)]),
-            )
+        smallest,
+        lambda m: F.transform(
+            F.filter(_upto(n - span), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1))),
+            lambda i: F.struct(
+                F.shiftright(F.get(m, i), 4).alias("hash"),
+                (i + F.pmod(F.get(m, i).bitwiseAND(F.lit(15)).cast("int") - i, F.lit(16))).alias("place"),
+            ),
         ),
     )
 
@@ -59,16 +78,21 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _hits(texts: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame:
-    """(_id, _hash, item_id, start, length): equal windows of ``span`` words in texts and in items that long."""
+    """(_id, _hash, n, item_id, start, length): equal windows of ``span`` words in texts and in items that long.
+
+    Each text row also gives one row with NULL item_id, so that texts without hits are not lost.
+    """
     reach = span - gram  # words before a fingerprint that a window around it can begin with
-    marks = items.where(F.col("n") >= span).select("item_id", "words", "n", F.explode(fingerprints(F.col("words"), F.col("n"), span, gram)).alias("f"))
+    marks = items.where(F.col("n") >= span).select(
+        "item_id", "words", F.explode(fingerprints(F.col("words"), F.col("n"), span, gram)).alias("f")
+    )
     low = F.greatest(F.col("f.place") - reach, F.lit(0))
     marks = durable(
         marks.select(
             "item_id",
             F.col("f.hash").alias("hash"),
             (F.col("f.place") - low).alias("item_before"),
-            F.slice("words", low + 1, span + reach).alias("item_words"),
+            F.transform(F.slice("words", low + 1, span + reach), folded).alias("item_words"),
         ).distinct()
     )
     places = F.transform(
@@ -80,9 +104,11 @@ def _hits(texts: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame
             F.slice(F.col("words"), F.greatest(f["place"] - reach, F.lit(0)) + 1, span + reach).alias("around"),
         ),
     )
-    found = texts.where(F.col("n") >= span).select("_id", "_hash", F.explode(places).alias("d"))
-    found = found.select("_id", "_hash", F.col("d.hash").alias("hash"), "d.low", "d.place", "d.around")
-    found = found.join(_bounded(marks), "hash")
+    # The row itself: no hash, so it joins nothing.
+    found = texts.select("_id", "_hash", "n", F.explode(F.concat(F.array(F.lit(None).cast(PLACE)), places)).alias("d"))
+    found = found.select("_id", "_hash", "n", "d.hash", "d.low", "d.place", "d.around")
+    found = found.join(_bounded(marks), "hash", "left").where("hash IS NULL OR item_id IS NOT NULL")
+    found = found.withColumn("around", F.transform("around", folded))
     before = F.col("place") - F.col("low")
     # Windows begin 0 to ``reach`` words before the fingerprint, as far as both sides have the words.
     back = F.filter(
@@ -90,9 +116,9 @@ def _hits(texts: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame
         lambda b: (F.size(F.slice("around", before - b + 1, span)) == span)
         & (F.slice("around", before - b + 1, span) == F.slice("item_words", F.col("item_before") - b + 1, span)),
     )
-    return found.select("_id", "_hash", "item_id", F.explode(back).alias("b"), "place").select(
-        "_id", "_hash", "item_id", (F.col("place") - F.col("b")).alias("start"), F.lit(span).alias("length")
-    )
+    back = F.when(F.col("item_id").isNull(), F.array(F.lit(0))).otherwise(back)
+    found = found.select("_id", "_hash", "n", "item_id", "place", F.explode(back).alias("b"))
+    return found.select("_id", "_hash", "n", "item_id", (F.col("place") - F.col("b")).alias("start"), F.lit(span).alias("length"))
 
 
 def contamination(
@@ -122,24 +148,26 @@ def contamination(
     hits = _hits(rows, items, span, gram)
     # At most span - 1 lengths, whatever the input.
     for length in sorted(r.n for r in items.where(F.col("n") < span).select("n").distinct().collect()):
-        hits = hits.union(_hits(rows, items.where(F.col("n") == length), length, min(gram, length)))
-    hits = hits.groupBy("_id", "_hash").agg(
-        F.collect_set(F.struct("start", "length")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items")
+        short = _hits(rows, items.where(F.col("n") == length), length, min(gram, length))
+        hits = hits.union(short.where("item_id IS NOT NULL"))
+    own = F.col("item_id").isNull()
+    hits = hits.groupBy("_id", "_hash", "n").agg(
+        F.sum(own.cast("int")).alias("copies"),
+        F.collect_set(F.when(~own, F.struct("start", "length"))).alias("hits"),
+        F.array_sort(F.collect_set("item_id")).alias("items"),
     )
-    every = rows.select("_id", "_hash", F.col("n").cast("long").alias("n_words"))
-    hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_hash").alias("_hit_hash"), "hits", "items")
-    same = F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash"))
     covered = F.array_distinct(
         F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))
     )
-    return every.join(hits, same, "left").select(
+    return hits.select(
         F.col("_id").alias("doc_id"),
         "_hash",
-        "n_words",
-        F.coalesce("hits", F.array().cast("array<struct<start:int,length:int>>")).alias("hits"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.when(F.col("hits").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long").alias("n_hit"),
-    )
+        F.col("n").cast("long").alias("n_words"),
+        "hits",
+        "items",
+        F.size(covered).cast("long").alias("n_hit"),
+        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"),
+    ).drop("_copy")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
