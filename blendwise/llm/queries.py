@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendwise.llm import decontamination, jaccard, language, packing, pii, quality, sharding, toxicity
+from blendwise.llm import (
+    decontamination,
+    jaccard,
+    language,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    sharding,
+    toxicity,
+    urls,
+)
 from blendwise.llm.common import table
 
 QUERIES: dict = {}
@@ -65,6 +76,28 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+@query
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLES["op4_nearest"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"""
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def held_out(folds: int, remainder: int):
     """Documents that no model may learn from, by the checksum of their id."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == remainder
