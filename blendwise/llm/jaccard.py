@@ -1,16 +1,21 @@
 """N-gram Jaccard self-join: a size-aware, heavy-light set join with the boundary chosen by cost.
 
-Documents with equal shingle sets form one class, and only classes are joined. Shingles are ordered by the number of
-classes that hold them, rarest first. If two sets reach the threshold they share at least c of their first
-``n - ceil(t n) + c`` shingles, so
+Documents with equal shingle sets form one class, and only classes are joined. Under any one order of all shingles,
+two sets that reach the threshold t share at least c of their first ``n - ceil(t n) + c`` shingles, so
 
 * light sets enumerate all 2-subsets of that prefix (c = 2) and meet where they share a subset,
-* heavy sets scan the inverted lists of their prefix (c = 1), in which light sets of nearly their size stand too.
+* heavy sets scan the inverted lists of their prefix, in which light sets of nearly their size stand too.
 
 Enumeration costs grow with the square of the prefix, lists with the frequency of the shingles; the boundary is the
 size with the least total. In each bucket pivots are compared with all members, the most central first. A bucket
 is closed once its members are connected, since more links would change no component; pairs left open after some
 pivots are compared one by one. Copies cost one comparison each instead of one per pair, and no link is lost.
+
+The order puts rare shingles first, but counting all shingles would move several times the text. Prefixes are
+short, so the order begins with a fixed ``PART`` of the hash space, by frequency; frequencies there are exact and
+over all documents. Only sets that run out of shingles there, or hold too many frequent ones, go on to the rest,
+whose frequencies are counted among these sets alone, and last to the frequent ones. Candidates travel as 32-bit
+hashes; links are decided on whole sets of 64-bit hashes, which only sets with candidates need.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from blendwise.session import durable
 SHINGLE = 5
 PERCENT = 80
 PIVOTS = 3
+PART = 0.3
+FREQUENT = 256
+FRONT = "array<struct<f:bigint,s:int>>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,67 +71,147 @@ def shingle_hashes(text: str | None, size: int, cache: dict[bytes, int]) -> np.n
     return np.unique(run)
 
 
-def shingle_sets(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n, class_id, shingles) per row; class_id is equal for equal sets, NULL for empty ones.
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The distinct upper halves of sorted hashes, still sorted."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(kind.to_pandas_dtype()), kind))
+
 
-    Hashes have 64 bits: among 10^10 different texts about three pairs of classes coincide by chance.
+def shingle_parts(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n, class_id, part) per row: set size, a hash of the set, and its shingles in ``PART``.
+
+    class_id is equal for equal sets and NULL for empty ones. Hashes have 64 bits: among 10^10 different texts
+    about three pairs of classes coincide by chance.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    limit = np.uint32(PART * 2**32)
 
     def make():
         cache: dict[bytes, int] = {}
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_hashes(value.as_py(), size, cache) for value in batch.column(2)]
-            ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            seal = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+            sizes, seals, parts = [], [], []
+            for value in batch.column(2):
+                found = shingle_hashes(value.as_py(), size, cache)
+                short = _short(found)
+                sizes.append(len(found))
+                seals.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
+                parts.append(short[: np.searchsorted(short, limit)])
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(seal, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(seals, pa.int64()),
+                    _lists(parts, pa.int32()),
                 ],
-                ["doc_id", "text_hash", "n", "class_id", "shingles"],
+                ["doc_id", "text_hash", "n", "class_id", "part"],
+            )
+
+        return work
+
+    rows = docs.select(id_col, _text_hash(text_col).alias("h"), text_col)
+    return map_rows(rows, make, f"doc_id {kind}, text_hash long, n long, class_id long, part array<int>")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(class_id, n, shingles, rest) of the wanted classes, from one document each.
+
+    ``rest`` has the 32-bit hashes beyond ``PART``, for classes marked ``poor`` only.
+    """
+    limit = np.uint32(PART * 2**32)
+
+    def make():
+        cache: dict[bytes, int] = {}
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_hashes(value.as_py(), size, cache) for value in batch.column(2)]
+            rest = []
+            for found, poor in zip(sets, batch.column(1)):
+                short = _short(found) if poor.as_py() else np.empty(0, np.uint32)
+                rest.append(short[np.searchsorted(short, limit) :])
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets, pa.int64()), _lists(rest, pa.int32())],
+                ["class_id", "n", "shingles", "rest"],
             )
 
         return work
 
-    rows = docs.select(id_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), text_col)
-    return map_rows(rows, make, f"doc_id {kind}, text_hash long, n long, class_id long, shingles array<long>")
+    texts = docs.select(F.col(id_col).alias("i"), _text_hash(text_col).alias("h"), F.col(text_col).alias("t"))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
+    rows = texts.join(wanted, same).select("class_id", "poor", "t")
+    return map_rows(rows, make, "class_id long, n long, shingles array<long>, rest array<int>")
+
 
+def _prefix_size(percent: int) -> Column:
+    return (F.col("n") - F.ceil(F.col("n") * percent / 100) + 2).cast("int")
 
-def _least_overlap(n: Column, percent: int) -> Column:
-    return F.ceil(n * percent / 100)
 
+def _first(array: Column, n: Column) -> Column:
+    return F.slice(array, F.lit(1), F.greatest(n, F.lit(0)))
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(class_id, n, m, front, shared) of the classes that can have partners.
 
-    ``shared``: the shingles that some other class has too; ``m``: their number; ``front``: (frequency, shingle) of
-    the prefix for c = 2, rarest first, without those that only this class has.
+def prefixes(docs: DataFrame, every: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Prefixes (class_id, n, m, na, front) of classes that can have partners, and the whole sets of these.
+
+    ``front``: (frequency, shingle) of the prefix for c = 2, rarest first, without shingles that only one document
+    has; ``m``: an upper bound of the shingles that others share; ``na``: size of the counted part.
     """
-    each = sets.select("class_id", "n", F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    held = each.join(common, "s").groupBy("class_id", "n").agg(F.collect_list(F.struct("f", "s")).alias("held"))
-    slack = F.col("n") - _least_overlap(F.col("n"), percent)
-    held = held.withColumn("m", F.size("held").cast("long")).where(F.col("m") >= F.col("n") - slack)
-    room = (slack + 2 - (F.col("n") - F.col("m"))).cast("int")
-    return held.select(
+    every = every.where("n > 0")
+    common = every.select(F.explode("part").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    held = every.select("class_id", F.explode("part").alias("s")).join(common, "s")
+    held = held.groupBy("class_id").agg(F.array_sort(F.collect_set(F.struct("f", "s"))).alias("held"))
+    classes = every.groupBy("class_id").agg(
+        F.max("n").alias("n"),
+        F.max(F.size("part")).alias("na"),
+        F.min(F.struct("doc_id", "text_hash")).alias("one"),
+    )
+    classes = classes.join(held, "class_id", "left").withColumn("held", F.coalesce("held", F.array().cast(FRONT)))
+    own = F.col("na") - F.size("held")
+    light = F.filter("held", lambda e: e["f"] <= FREQUENT)
+    heavy = F.filter("held", lambda e: e["f"] > FREQUENT)
+    classes = classes.select(
         "class_id",
         "n",
-        "m",
-        F.slice(F.array_sort("held"), F.lit(1), room).alias("front"),
-        F.transform("held", lambda e: e["s"]).alias("shared"),
+        "na",
+        (F.col("n") - own).alias("m"),
+        own.alias("own"),
+        light.alias("light"),
+        heavy.alias("heavy"),
+        _prefix_size(percent).alias("p"),
+        F.col("one.doc_id").alias("doc_id"),
+        F.col("one.text_hash").alias("text_hash"),
     )
-
-
-def _singles(percent: int) -> Column:
-    """The prefix for c = 1: one shingle less than for c = 2, if that one is among the shared ones."""
-    full = F.col("n") - _least_overlap(F.col("n"), percent) + 1 - (F.col("n") - F.col("m"))
-    return F.slice("front", F.lit(1), full.cast("int"))
+    reach = F.col("own") + F.size("light")
+    classes = classes.withColumn("poor", reach < F.col("p")).where(
+        (F.col("m") * 100 >= F.col("n") * percent) & (F.col("poor") | (F.col("own") < F.col("p")) & (F.size("light") > 0))
+    )
+    classes = stored(classes, "classes")
+    whole = stored(whole_sets(docs, classes.select("class_id", "poor", "doc_id", "text_hash"), size, id_col, text_col), "sets")
+    rest = whole.where(F.size("rest") > 0).select("class_id", F.explode("rest").alias("s"), F.size("rest").alias("nb"))
+    common = rest.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rest = rest.join(common, "s").groupBy("class_id").agg(
+        F.array_sort(F.collect_set(F.struct("f", "s"))).alias("more"), F.max("nb").alias("nb")
+    )
+    sizes = whole.where(F.size("rest") > 0).groupBy("class_id").agg(F.max(F.size("rest")).alias("nb"))
+    rest = sizes.join(rest.drop("nb"), "class_id", "left")
+    sets = classes.join(rest, "class_id", "left")
+    more, nb = F.coalesce("more", F.array().cast(FRONT)), F.coalesce("nb", F.lit(0))
+    lack = F.col("p") - F.col("own") - F.size("light")  # of the prefix, after the counted part
+    front = F.when(~F.col("poor"), _first(F.col("light"), F.col("p") - F.col("own"))).otherwise(
+        F.concat("light", _first(more, lack - (nb - F.size(more))), _first(F.col("heavy"), lack - nb))
+    )
+    sets = sets.select("class_id", "n", "m", "na", "own", front.alias("front")).where(F.size("front") > 0)
+    return stored(sets, "prefixes"), whole
 
 
 def size_boundary(sets: DataFrame, percent: int) -> int:
@@ -136,7 +224,7 @@ def size_boundary(sets: DataFrame, percent: int) -> int:
         F.floor(F.log(F.col("n")) / math.log(1.1)).alias("g"),
         "n",
         (p * (p - 1) / 2).alias("subsets"),
-        F.aggregate(_singles(percent), F.lit(0.0), lambda a, e: a + e["f"]).alias("lists"),
+        F.aggregate("front", F.lit(0.0), lambda a, e: a + e["f"]).alias("lists"),
         p.alias("entries"),
     )
     sums = costs.groupBy("g").agg(
@@ -170,7 +258,7 @@ def buckets(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
             ),
         )
     )
-    single = F.transform(_singles(percent), lambda a: F.xxhash64(a["s"], F.lit("list")))
+    single = F.transform(f, lambda a: F.xxhash64(a["s"], F.lit("list")))
     near = F.col("n") * 100 >= F.lit(boundary) * percent
     keys = F.when(light & near, F.concat(subsets, single)).when(light, subsets).otherwise(single)
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
@@ -180,7 +268,7 @@ def buckets(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
         "n",
         "m",
         (~light).alias("heavy"),
-        F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), (-frequent).alias("rare"), "class_id").alias("rank"),
+        F.struct((F.col("own") / F.greatest("na", F.lit(1))).alias("own"), (-frequent).alias("rare"), "class_id").alias("rank"),
         F.explode(F.array_distinct(keys)).alias("key"),
         band.alias("band"),
     )
@@ -194,16 +282,16 @@ def _possible(percent: int) -> Column:
     return best * 100 >= percent * (F.col("n") + F.col("n_b") - best)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold; only shared shingles can be in common."""
-    left = sets.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = sets.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold."""
+    left = whole.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = whole.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
     both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    return both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b").distinct()
 
 
-def link_classes(sets: DataFrame, percent: int, boundary: int | None = None, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+def link_classes(sets: DataFrame, whole: DataFrame, percent: int, boundary: int | None = None, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """(class, root) of the linked classes, and the links (a, b) that were found to connect them."""
     if boundary is None:
         boundary = size_boundary(sets, percent)
@@ -232,7 +320,7 @@ def link_classes(sets: DataFrame, percent: int, boundary: int | None = None, piv
             & ((F.col("n") <= boundary) & (F.col("n_b") <= boundary) | F.col("heavy") | F.col("heavy_b"))
         )
         pairs = pairs.select(F.least("class_id", "class_id_b").alias("a"), F.greatest("class_id", "class_id_b").alias("b"))
-        found = durable(verify(pairs, sets, percent))
+        found = durable(verify(pairs, whole, percent))
         links = found if links is None else links.union(found)
         roots = connected_components(links)
     return roots, links
@@ -254,10 +342,9 @@ def near_duplicates(
     get NULL as component_id only if their component holds no id; component_class tells components apart in any
     case. An empty table gives an empty result; other columns are not read.
     """
-    every = stored(shingle_sets(docs, size, id_col, text_col), "shingles")
-    classes = every.where("n > 0").select("class_id", "n", "shingles").dropDuplicates(["class_id"])
-    sets = stored(prefixes(classes, percent), "prefixes")
-    roots, _ = link_classes(sets, percent, boundary)
+    every = stored(shingle_parts(docs, size, id_col, text_col), "shingles")
+    sets, whole = prefixes(docs, every, size, percent, id_col, text_col)
+    roots, _ = link_classes(sets, whole, percent, boundary)
     rows = every.select("doc_id", "text_hash", "n", "class_id")
     rows = rows.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     rows = durable(rows.withColumn("root", F.coalesce("root", "class_id")))
