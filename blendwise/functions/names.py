@@ -14,8 +14,11 @@ def file_stem(path: Column) -> Column:
 
 
 def domain_of(path: Column) -> Column:
-    """The part of a file name before ``-<shard number>``."""
-    return F.regexp_extract(file_stem(path), r"^(.+?)-(\d+)(?:_|$)", 1)
+    """The part of a file name before ``-<shard number>``; without a number what stands before the first dash, and
+    without a dash the whole stem, so that differently named files never fall into one group."""
+    stem = file_stem(path)
+    numbered = F.regexp_extract(stem, r"^(.+?)-(\d+)(?:_|$)", 1)
+    return F.when(numbered != "", numbered).otherwise(F.regexp_extract(stem, r"^([^-]+|.*)", 1))
 
 
 def shard_of(path: Column) -> Column:

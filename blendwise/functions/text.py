@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
 
 # Special tokens and the pattern of a word.
 UNKNOWN, BOS, EOS = "<unk>", "<s>", "</s>"
@@ -31,32 +30,3 @@ def framed(tokens: Column, bos, eos, max_length: int = -1) -> Column:
 
 def id_width(vocabulary_size: int) -> str:
     return "uint16" if vocabulary_size < NARROW_VOCABULARY else "int32"
-
-
-def subword_ids(df: DataFrame, path: str, column: str = "text", out: str = "ids") -> DataFrame:
-    """Subword ids of a text column by a ``.json`` or ``.model`` tokenizer file; needs the matching public library.
-
-    The file must be readable on every executor (a shared folder); each task loads it once and encodes whole Arrow
-    batches. The function is nested so that it travels by value and workers need not have this package.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-
-    def encode(batches):
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-        else:
-            from sentencepiece import SentencePieceProcessor
-
-            model = SentencePieceProcessor(model_file=path)
-        for batch in batches:
-            texts = ["" if text is None else text for text in batch.column(column).to_pylist()]
-            if path.endswith(".json"):
-                found = [encoded.ids for encoded in model.encode_batch(texts)]
-            else:
-                found = model.encode(texts)
-            ids = pa.array(found, type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
-
-    return df.mapInArrow(encode, schema)

@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blendwise.functions.draws import digest, uniform
@@ -19,6 +19,9 @@ from blendwise.operators.synthesis import attach_domains
 SIMULATIONS = 100_000
 TOP_K = 128
 PATIENCE = 3
+ROUNDS, RATE = 1000, 0.01
+# Rounds of the first fit; each further one has four times as many, until patience ends or ``ROUNDS`` are reached.
+FIRST_ROUNDS = 32
 FIT_SEED = 42
 
 
@@ -37,31 +40,49 @@ def fit_boosted(
     fit: DataFrame,
     stop: DataFrame,
     targets: Sequence[str],
-    rounds: int = 60,
-    rate: float = 0.1,
+    rounds: int = ROUNDS,
+    rate: float = RATE,
     depth: int = 3,
     patience: int = PATIENCE,
     seed: int = FIT_SEED,
 ) -> dict[str, GBTRegressionModel]:
     """One boosted-tree model per target with early stopping on a set of its own.
 
-    All rounds are fitted, then the error on ``stop`` is followed round by round: the first round after which
-    ``patience`` rounds bring no gain ends the model.
+    The error on ``stop`` is followed round by round: the first round after which ``patience`` rounds bring no gain
+    ends the model, which keeps the trees up to the best round. The fit grows in steps, so that a model which stops
+    early never costs all ``rounds``.
     """
     fit, stop = fit.cache(), stop.cache()
     models = {}
     for target in targets:
-        trainer = GBTRegressor(
-            featuresCol="features", labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed
-        )
-        errors = trainer.fit(fit).evaluateEachIteration(stop.select("features", target), "squared")
-        best = stop_round(errors, patience)
-        models[target] = trainer.setMaxIter(best + 1).fit(fit)
+        trainer = GBTRegressor(featuresCol="features", labelCol=target, stepSize=rate, maxDepth=depth, seed=seed)
+        size = min(FIRST_ROUNDS, rounds)
+        while True:
+            model = trainer.setMaxIter(size).fit(fit)
+            errors = model.evaluateEachIteration(stop.select("features", target), "squared")
+            best = stop_round(errors, patience)
+            if size == rounds or len(errors) - 1 - best >= patience:
+                break
+            size = min(4 * size, rounds)
+        models[target] = first_trees(model, best + 1)
     fit.unpersist()
     stop.unpersist()
     return models
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The same model with its first ``n`` trees."""
+    java, jvm = model._java_obj, SparkSession.active()._jvm
+    trees = java.trees()[:n]
+    array = SparkSession.active().sparkContext._gateway.new_array
+    kept = array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = array(jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, java.treeWeights())):
+        kept[i], weights[i] = tree, weight
+    cut = jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), kept, weights, java.numFeatures())
+    return GBTRegressionModel(cut)
+
+
 def stop_round(errors: Sequence[float], patience: int = PATIENCE) -> int:
     """Index of the best round before the first ``patience`` rounds in a row without gain."""
     best = 0

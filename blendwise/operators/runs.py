@@ -9,11 +9,16 @@ from blendwise.operators.ordering import join_same
 
 # Defaults of a training run, and the values written into synthesised configs.
 RUN_DEFAULTS = {
+    "model_name": "model_1B",
+    "reset_embedding": False,
+    "group_level_sampling": False,
+    "only_save_model": False,
     "total_devices": 8,
     "num_of_devices": 8,
     "global_batch_size": 512,
     "learning_rate": 4e-4,
     "min_lr": 1e-5,
+    "decay_lr": True,
     "micro_batch_size": 4,
     "max_step": 25000,
     "warmup_steps": 1000,
@@ -26,6 +31,8 @@ RUN_DEFAULTS = {
     "beta2": 0.95,
     "grad_clip": 1.0,
 }
+# A key without a default that a config may set.
+OPTIONAL = ("data_seed",)
 PROXY_PARAMS = {
     "seed": 42,
     "temperature": 0.5,
@@ -56,12 +63,12 @@ def literal_map(values: dict) -> Column:
 
 
 def resolve_params(configs: DataFrame, defaults: dict = RUN_DEFAULTS, params: str = "params") -> DataFrame:
-    """Defaults overridden by known keys, and the sizes that follow from them.
+    """Defaults overridden by known keys, and the sizes that follow from them; no accumulation step is an error.
 
     Derived sizes use a config's own values only if it sets ``global_batch_size``; otherwise they stay those of
     the defaults.
     """
-    known = F.array(*[F.lit(name) for name in defaults])
+    known = F.array(*[F.lit(name) for name in (*defaults, *OPTIONAL)])
     given = F.coalesce(F.col(params), F.create_map().cast("map<string,string>"))
     overrides = F.map_filter(given, lambda key, value: F.array_contains(known, key))
     merged = F.map_concat(
@@ -76,6 +83,9 @@ def resolve_params(configs: DataFrame, defaults: dict = RUN_DEFAULTS, params: st
 
     batch = F.floor(size("global_batch_size") / size("total_devices"))
     accumulation = F.floor(batch / size("micro_batch_size"))
+    accumulation = F.when(accumulation > 0, accumulation).otherwise(
+        F.raise_error(F.lit("a batch per device is smaller than a micro-batch")).cast("long")
+    )
     return rows.select(
         *configs.columns,
         "resolved",

@@ -162,13 +162,13 @@ def dedup_close(samples: DataFrame, threshold: float = DUPLICATE_DISTANCE) -> Da
 def choose_configs(samples: DataFrame, num: int, seed: int = SEED) -> DataFrame:
     """Pick ``num`` candidates at random and number them from 1; too few candidates are an error."""
     ticket = digest(seed, "choose", F.col("sample_id"))
-    chosen = samples.withColumn("_ticket", ticket).orderBy("_ticket", "sample_id").limit(num)
-    everyone = Window.partitionBy(F.lit(0))
-    place = F.row_number().over(everyone.orderBy("_ticket", "sample_id")).cast("long")
-    found = F.count(F.lit(1)).over(everyone)
-    message = F.concat(F.lit(f"{num} mixtures wanted, found "), found.cast("string"))
-    index = F.when(found < num, F.raise_error(message).cast("long")).otherwise(place)
-    return chosen.withColumn("index", index).drop("_ticket")
+    # Stored and counted at once: a check inside a column could be pruned, and would see no row of an empty table.
+    chosen = durable(samples.withColumn("_ticket", ticket).orderBy("_ticket", "sample_id").limit(num))
+    found = chosen.count()
+    if found < num:
+        raise ValueError(f"{num} mixtures wanted, found {found}")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_ticket", "sample_id")).cast("long")
+    return chosen.withColumn("index", place).drop("_ticket")
 
 
 def explode_samples(samples: DataFrame, domains: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:

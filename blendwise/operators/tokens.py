@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from blendwise.functions.names import dash_prefixes, domain_of, shard_of
 from blendwise.functions.text import BOS, EOS, SPECIALS, framed, words
 from blendwise.session import durable
 
-# Above this many entries a vocabulary is joined, not sent to every task.
-LOCAL_VOCABULARY = 1_000_000
-
 
 def with_domain(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("domain", domain_of(F.col(path))).withColumn("shard", shard_of(F.col(path)))
@@ -56,31 +50,12 @@ def build_vocab(df: DataFrame, max_size: int, tokens: str = "tokens") -> DataFra
     return marks.unionByName(numbered)
 
 
-def encode_ids(
-    df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", unk: int = 0, bound: int = LOCAL_VOCABULARY
-) -> DataFrame:
+def encode_ids(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", unk: int = 0) -> DataFrame:
     """Replace tokens by ids, unknown ones by ``unk``.
 
-    A vocabulary of at most ``bound`` entries goes to the tasks, which look up whole Arrow batches without a
-    shuffle. A larger one is joined on the token and documents are put together again by position.
+    One way for every size: tokens are joined with the vocabulary, which Catalyst sends to the tasks if it is small,
+    and documents are put together again by position. Rows are stored first, so that their numbers stay fixed.
     """
-    entries = vocab.select("token", "id").limit(bound + 1).toArrow()
-    if entries.num_rows > bound:
-        return _encode_by_join(df, vocab, tokens, out, unk)
-    known, numbers = entries.column("token").combine_chunks(), entries.column("id").cast(pa.int32()).combine_chunks()
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-
-    def encode(batches):
-        for batch in batches:
-            lists = batch.column(tokens)
-            ids = pc.fill_null(numbers.take(pc.index_in(lists.values, value_set=known)), unk)
-            found = pa.ListArray.from_arrays(lists.offsets, ids, mask=lists.is_null() if lists.null_count else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
-
-    return df.mapInArrow(encode, schema)
-
-
-def _encode_by_join(df: DataFrame, vocab: DataFrame, tokens: str, out: str, unk: int) -> DataFrame:
     keyed = durable(df.withColumn("_row", F.monotonically_increasing_id()))
     each = keyed.select("_row", F.posexplode(tokens).alias("_pos", "token"))
     known = each.join(vocab.select("token", F.col("id").cast("int").alias("_id")), "token", "left")

@@ -71,7 +71,12 @@ def to_wide(
     weights: DataFrame, domains: Sequence[str] | None = None, by: Sequence[str] = ("index",), value: str = "weight"
 ) -> DataFrame:
     """One row per config, one column per domain. Without a list, Spark reads the domains from the data and
-    refuses more than ``spark.sql.pivotMaxValues``."""
+    refuses more than ``spark.sql.pivotMaxValues``; with one, a domain that it does not name is an error."""
+    if domains:
+        name = F.col("domain")
+        message = F.concat(F.lit("domain is not listed: "), F.coalesce(name, F.lit("NULL")))
+        listed = F.when(name.isin(*domains), name).otherwise(F.raise_error(message).cast("string"))
+        weights = weights.withColumn("domain", listed)
     return weights.groupBy(*by).pivot("domain", list(domains) if domains else None).agg(F.first(value, True))
 
 

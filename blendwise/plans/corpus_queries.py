@@ -14,7 +14,7 @@ from blendwise.sources import corpus as corpus_source
 from blendwise.sources import tables
 from blendwise.sources.files import rename_parts
 
-VOCABULARY = 1000
+VOCABULARY = 65_500
 MAX_LENGTH = 64
 NAME = "'train_demo_' || source || '-' || (doc_id % 4) || '_0_0000000000.bin'"
 

@@ -23,8 +23,8 @@ from blendwise.session import scratch
 from blendwise.sources import configs, tables
 
 SEED = synthesis.SEED
-CANDIDATES = 64 * synthesis.SAMPLE_MULTIPLIER
-CHOSEN = 64
+CHOSEN = 512
+CANDIDATES = CHOSEN * synthesis.SAMPLE_MULTIPLIER
 COARSE = 0.02
 GRID = synthesis.strength_grid()
 
@@ -581,7 +581,7 @@ basis AS (SELECT *, (CASE WHEN resized THEN batch ELSE 512 END) // 8 AS batch_si
                   (1000 * (batch_size // used_micro))::BIGINT AS warmup_iters,
                   (used_steps * (batch_size // used_micro))::BIGINT AS max_iters,
                   (10 * (batch_size // used_micro))::BIGINT AS log_iter_interval,
-                  steps::BIGINT AS max_step, 16::BIGINT AS n_params
+                  steps::BIGINT AS max_step, 21::BIGINT AS n_params
            FROM basis""",
         PARAMETERS,
     ),

@@ -23,7 +23,7 @@ from blendwise.session import durable
 
 SEED = synthesis.SEED
 TARGETS = ("discount_loss", "price_loss")
-SAMPLES = 20_000
+SAMPLES = regression.SIMULATIONS
 TOP = regression.TOP_K
 REPLICAS = 1000
 
@@ -75,7 +75,7 @@ def assemble(spark, folder):
 def fit_boosted(spark, folder):
     """Boosted trees per target, with early stopping, scored on runs they have not seen."""
     fit, stop, score = regression.split_sets(durable(table(spark, folder)), (0.6, 0.2, 0.2))
-    models = regression.fit_boosted(fit, stop, TARGETS, rounds=20)
+    models = regression.fit_boosted(fit, stop, TARGETS)
     scored = None
     for target, model in models.items():
         part = regression.predict(model, score).select(
@@ -288,7 +288,7 @@ def simulate(spark, folder):
     """100,000 mixtures around the brand shares, predicted by boosted trees, as a histogram."""
     prior = durable(views.brand_prior(spark, folder))
     model, _ = recommend.fit_and_score(
-        views.mixtures(spark, folder), views.losses(spark, folder), sorted(BRANDS), "discount_loss", rounds=10
+        views.mixtures(spark, folder), views.losses(spark, folder), sorted(BRANDS), "discount_loss"
     )
     return recommend.loss_histogram(recommend.simulate(model, prior))
 
@@ -298,5 +298,5 @@ def recommend_mixture(spark, folder):
     """The whole way from mixtures and losses to a recommended mixture."""
     prior = durable(views.brand_prior(spark, folder))
     return recommend.recommend_mixture(
-        views.mixtures(spark, folder), views.losses(spark, folder), prior, "discount_loss", rounds=10
+        views.mixtures(spark, folder), views.losses(spark, folder), prior, "discount_loss"
     )

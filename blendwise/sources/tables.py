@@ -52,7 +52,11 @@ def read_chunks(spark: SparkSession, path: str, domains: Sequence[str] | DataFra
 
     A list prunes folders while planning, a table prunes them at run time if it is small enough to broadcast.
     """
-    chunks = spark.read.parquet(path).withColumn("domain", F.col("domain").cast("string"))
+    # Folder names stay as written: inferred types would turn 007 into 7.
+    found = spark.read.parquet(path).schema
+    names = {"split": "string", "domain": "string"}
+    schema = ", ".join(f"`{f.name}` {names.get(f.name, f.dataType.simpleString())}" for f in found)
+    chunks = spark.read.schema(schema).parquet(path)
     if domains is None:
         return chunks
     if isinstance(domains, DataFrame):

@@ -103,3 +103,15 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_number_like_domains_stay_as_written(spark, tmp_path):
+    from blendwise.sources import tables
+
+    names = ["007", "12", "1e3", "true", "2020-01-01"]
+    rows = [("train", d, i, [i]) for i, d in enumerate(names)]
+    chunks = spark.createDataFrame(rows, "split string, domain string, chunk_no int, tokens array<int>")
+    tables.write_chunks(chunks, str(tmp_path / "c"))
+    found = tables.read_chunks(spark, str(tmp_path / "c"))
+    assert sorted(r.domain for r in found.collect()) == sorted(names)
+    assert [r.chunk_no for r in tables.read_chunks(spark, str(tmp_path / "c"), ["007"]).collect()] == [0]
