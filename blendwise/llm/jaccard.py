@@ -33,7 +33,8 @@ from blendwise.session import durable
 
 SHINGLE = 5
 PERCENT = 80
-PIVOTS = 3
+PIVOTS = 1
+SUBSET_COST = 3  # of making one subset, against reading one list entry
 PART = 0.3
 FREQUENT = 256
 FRONT = "array<struct<f:bigint,s:int>>"
@@ -223,7 +224,7 @@ def size_boundary(sets: DataFrame, percent: int) -> int:
     costs = sets.select(
         F.floor(F.log(F.col("n")) / math.log(1.1)).alias("g"),
         "n",
-        (p * (p - 1) / 2).alias("subsets"),
+        (p * (p - 1) / 2 * SUBSET_COST).alias("subsets"),
         F.aggregate("front", F.lit(0.0), lambda a, e: a + e["f"]).alias("lists"),
         p.alias("entries"),
     )
@@ -263,7 +264,8 @@ def buckets(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     keys = F.when(light & near, F.concat(subsets, single)).when(light, subsets).otherwise(single)
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
     frequent = F.aggregate(f, F.lit(0.0), lambda a, e: a + F.log(e["f"].cast("double"))) / F.size(f)
-    rows = sets.select(
+    # A few wide rows make many: spread them over all tasks first.
+    rows = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class_id").select(
         "class_id",
         "n",
         "m",
@@ -291,39 +293,35 @@ def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b").distinct()
 
 
-def link_classes(sets: DataFrame, whole: DataFrame, percent: int, boundary: int | None = None, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """(class, root) of the linked classes, and the links (a, b) that were found to connect them."""
+def link_classes(
+    sets: DataFrame, whole: DataFrame, percent: int, boundary: int | None = None, pivots: int = PIVOTS
+) -> DataFrame:
+    """(class_id, root) of the classes that stand in buckets; classes of one component share a root."""
     if boundary is None:
         boundary = size_boundary(sets, percent)
     members = buckets(sets, boundary, percent)
     alone = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank")) - 1
     members = durable(members.join(alone, "bucket").withColumn("place", place).drop("rank"))
+    roots = members.select("class_id").distinct().withColumn("root", F.col("class_id"))
     other = [F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "m", "heavy", "root", "place")]
-    links, roots = None, None
     for turn in range(pivots + 1):
-        if roots is None:
-            now = members.withColumn("root", F.col("class_id"))
-        else:
-            known = roots.select(F.col("node").alias("class_id"), "root")
-            now = members.join(known, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        rest = now.where(F.col("place") >= turn)
+        rest = members.where(F.col("place") >= turn).join(roots, "class_id")
         open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        rest = rest.join(open_.where("lo < hi").select("bucket"), "bucket")
-        if turn:
-            rest = durable(rest)
-            if rest.isEmpty():
-                break
+        rest = durable(rest.join(open_.where("lo < hi").select("bucket"), "bucket"))
         first = rest.where(F.col("place") == turn) if turn < pivots else rest
         pairs = first.join(rest.select("bucket", *other), "bucket").where(
             (F.col("place") < F.col("place_b")) & (F.col("root") != F.col("root_b")) & _possible(percent)
             & ((F.col("n") <= boundary) & (F.col("n_b") <= boundary) | F.col("heavy") | F.col("heavy_b"))
         )
         pairs = pairs.select(F.least("class_id", "class_id_b").alias("a"), F.greatest("class_id", "class_id_b").alias("b"))
-        found = durable(verify(pairs, whole, percent))
-        links = found if links is None else links.union(found)
-        roots = connected_components(links)
-    return roots, links
+        # What is linked already stands for its component, so later turns join ever fewer nodes.
+        ends = [roots.select(F.col("class_id").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
+        links = verify(pairs, whole, percent).join(ends[0], "a").join(ends[1], "b")
+        joined = connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = durable(roots.join(joined, "root", "left").select("class_id", F.coalesce("new", "root").alias("root")))
+    return roots
 
 
 def near_duplicates(
@@ -344,9 +342,9 @@ def near_duplicates(
     """
     every = stored(shingle_parts(docs, size, id_col, text_col), "shingles")
     sets, whole = prefixes(docs, every, size, percent, id_col, text_col)
-    roots, _ = link_classes(sets, whole, percent, boundary)
+    roots = link_classes(sets, whole, percent, boundary)
     rows = every.select("doc_id", "text_hash", "n", "class_id")
-    rows = rows.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
+    rows = rows.join(roots, "class_id", "left")
     rows = durable(rows.withColumn("root", F.coalesce("root", "class_id")))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select(
