@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from blendwise.session import durable, scratch
 
+ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,13 +39,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run a batch function in the tasks; ``make`` is called once per task, so that models load once."""
+    """Run a batch function in the tasks; ``make`` is called once per task, so that models load once.
+
+    Batches are cut to ``ROWS`` rows, which bounds what a worker holds besides its model.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield work(batch.slice(at, ROWS))
 
     return df.mapInArrow(run, schema)
 
@@ -59,28 +63,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node of its component.
 
     Nodes hook onto the neighbour with the smallest random priority and edges are contracted to the hooks, which
-    about halves the nodes in each round whatever the shape, chains and hubs included. Only key tables move; each
-    round is checkpointed, and the rows of a hub meet in a joinable, splittable side, never in one group.
-    Null ends and loops are ignored; an empty input gives an empty result.
+    about halves the nodes in each round or two whatever the shape, chains and hubs included. Only key tables move; the
+    edges of each round are checkpointed, and the rows of a hub meet in a joinable, splittable side, never in one
+    group. Null ends and loops are ignored; an empty input gives an empty result.
     """
 
     def tidy(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         return durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    current, hooks, turn = tidy(edges.select("a", "b")), [], 0
+    def order(column: Column) -> Column:
+        return F.struct(F.xxhash64(column).alias("p"), column.alias("node"))
+
+    current, hooks = tidy(edges.select("a", "b")), []
     while not current.isEmpty():
-        order = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), c.alias("node"))
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("best"))
-        parent = F.least(F.col("best"), order(F.col("a")))["node"]
-        hook = durable(best.select(F.col("a").alias("node"), parent.alias("parent")))
+        hook = best.select(F.col("a").alias("node"), F.least(F.col("best"), order(F.col("a")))["node"].alias("parent"))
         hooks.append(hook)
         left = hook.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         right = hook.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = current.join(left, "a").join(right, "b")
         current = tidy(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
-        turn += 1
     if not hooks:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     label = hooks[0].select("node", F.col("parent").alias("top"))
@@ -88,4 +92,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = hook.select(F.col("node").alias("top"), F.col("parent").alias("next"))
         label = label.join(step, "top", "left").select("node", F.coalesce("next", "top").alias("top"))
     smallest = label.groupBy("top").agg(F.min("node").alias("root"))
-    return durable(label.join(smallest, "top").select("node", "root"))
+    return label.join(smallest, "top").select("node", "root")

@@ -10,6 +10,7 @@ which need no padding.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,69 +40,95 @@ class Encoder:
     """Ids of whole texts, one white-space chunk at a time with a memory of chunks seen before.
 
     The tokenizer's own rules never join characters across white space, ignore case and drop white space, so the
-    ids of a text are those of its chunks. Strings of special tokens are ordinary text.
+    ids of a text are those of its chunks. Plain words, with or without marks after them, need none of its
+    normalising and splitting and go to its merge model directly; all others take the whole way. Strings of special
+    tokens are ordinary text.
     """
 
-    KEEP = 300_000
+    KEEP = 250_000
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.pieces = self.tokenizer.model.tokenize
+        self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
         self.end = np.array([END_ID], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
 
+    def _model(self, piece: str) -> bytes:
+        found = self.pieces(piece)
+        return struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
+
+    def _chunk(self, chunk: bytes) -> bytes | None:
+        """Ids of a plain word with marks; None for anything else."""
+        word = chunk.rstrip(self.MARKS)
+        ids = self.known.get(word)
+        if ids is None:
+            if word.isalpha():  # ASCII letters: spelled as they are
+                ids = self._model(word.decode())
+            else:
+                text = word.decode()
+                low = text.lower()
+                # Single letters up to U+017F have one lower-case form and nothing to compose.
+                if not text.isalpha() or max(text) >= "\u0180" or not low.isalpha() or len(low) != len(text):
+                    return None
+                ids = self._model(self.spelled(low)[0][0])
+            self.known[word] = ids
+        if len(word) < len(chunk):
+            marks = chunk[len(word) :]
+            tail = self.known.get(marks)
+            if tail is None:
+                tail = self.known[marks] = self._model(marks.decode())
+            ids = self.known[chunk] = ids + tail
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunks = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
+        new = {c for doc in chunks for c in doc if c not in self.known}
+        if len(self.known) + len(new) > self.KEEP:
+            self.known = {}
+            new = {c for doc in chunks for c in doc}
         known = self.known
-        new = list({c for doc in chunks for c in doc if c not in known})
-        if len(known) + len(new) > self.KEEP:
-            known = self.known = {}
-            new = list({c for doc in chunks for c in doc})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        hard = [c for c in new if self._chunk(c) is None]
+        for at in range(0, len(hard), 4096):
+            part = hard[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
             for chunk, encoding in zip(part, found):
-                known[chunk] = np.array(encoding.ids, self.kind).tobytes()
+                known[chunk] = struct.pack(f"<{len(encoding.ids)}{self.code}", *encoding.ids)
         return [b"".join([known[c] for c in doc]) + self.end for doc in chunks]
 
 
 def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_hash, sig, n, ids): ids little-endian, with the end mark; two or four bytes each by vocabulary.
 
-    ``sig`` orders documents by their two most telling terms: frequent here, and late in the merge order of the
-    tokenizer, which lists common pieces first.
+    ``sig`` orders documents by their two rarest terms in the merge order of the tokenizer, which lists common pieces
+    first: copies and documents about the same odd thing come to stand together.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         encoder = Encoder(path)
-        rarity = np.log1p(np.arange(encoder.tokenizer.get_vocab_size(), dtype=np.float64))
 
         def signature(ids: np.ndarray) -> int:
-            terms, counts = np.unique(ids, return_counts=True)
-            weight = rarity[terms] ** 4 * np.log1p(counts)
-            first = np.argsort(-weight, kind="stable")[:2]
-            return int(terms[first[0]]) << 32 | int(terms[first[-1]])
+            first = ids.max()
+            rest = ids[ids < first]
+            return int(first) << 32 | int(rest.max() if len(rest) else first)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = []
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                coded = encoder.encode(part.column(2).to_pylist())
-                sig = [signature(np.frombuffer(c, encoder.kind)) for c in coded]
-                sizes = [len(c) // encoder.kind.itemsize for c in coded]
-                parts.append((part.column(0), part.column(1), sig, sizes, coded))
+            coded = encoder.encode(batch.column(2).to_pylist())
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([s for p in parts for s in p[2]], pa.int64()),
-                    pa.array([s for p in parts for s in p[3]], pa.int64()),
-                    pa.array([c for p in parts for c in p[4]], pa.binary()),
+                    pa.array([signature(np.frombuffer(c, encoder.kind)) for c in coded], pa.int64()),
+                    pa.array([len(c) // encoder.kind.itemsize for c in coded], pa.int64()),
+                    pa.array(coded, pa.binary()),
                 ],
                 ["doc_id", "row_hash", "sig", "n", "ids"],
             )
@@ -119,13 +146,13 @@ def document_frequencies(tokens: DataFrame, vocabulary: int, width: int) -> tupl
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, bool)
+        found, last = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
         for batch in batches:
             for value in batch.column(0):
                 ids = np.frombuffer(value.as_buffer(), f"<u{width}")
-                seen[ids] = True
-                found += seen
-                seen[ids] = False
+                places = np.arange(len(ids))
+                last[ids] = places
+                found[ids[last[ids] == places]] += 1  # one place of each term
         terms = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(found[terms])], ["term", "docs"])
 
