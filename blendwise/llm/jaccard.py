@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blendwise.llm.common import connected_components, map_rows, stored
+from blendwise.llm.common import connected_components, let, map_rows, stored
 from blendwise.session import durable
 
 SHINGLE = 5
@@ -251,13 +251,17 @@ def buckets(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """
     light = F.col("n") <= boundary
     f = F.col("front")
-    subsets = F.flatten(
-        F.transform(
-            f,
-            lambda a, i: F.transform(
-                F.slice(f, i + 2, F.size(f)), lambda b: F.xxhash64(F.least(a["s"], b["s"]), F.greatest(a["s"], b["s"]))
-            ),
-        )
+    # The numbers alone, once per row: slices of stored rows would be copied for each element.
+    subsets = let(
+        F.transform(f, lambda e: e["s"]),
+        lambda s: F.flatten(
+            F.transform(
+                s,
+                lambda a, i: F.transform(
+                    F.slice(s, i + 2, F.size(s)), lambda b: F.xxhash64(F.least(a, b), F.greatest(a, b))
+                ),
+            )
+        ),
     )
     single = F.transform(f, lambda a: F.xxhash64(a["s"], F.lit("list")))
     near = F.col("n") * 100 >= F.lit(boundary) * percent
@@ -300,9 +304,10 @@ def link_classes(
     if boundary is None:
         boundary = size_boundary(sets, percent)
     members = buckets(sets, boundary, percent)
-    alone = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank")) - 1
-    members = durable(members.join(alone, "bucket").withColumn("place", place).drop("rank"))
+    bucket = Window.partitionBy("bucket").orderBy("rank")
+    size = F.count(F.lit(1)).over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    members = members.withColumn("k", size).withColumn("place", F.row_number().over(bucket) - 1)
+    members = durable(members.where("k > 1").drop("rank", "k"))
     roots = members.select("class_id").distinct().withColumn("root", F.col("class_id"))
     other = [F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "m", "heavy", "root", "place")]
     for turn in range(pivots + 1):
