@@ -34,6 +34,7 @@ from blendwise.session import durable
 SHINGLE = 5
 PERCENT = 80
 PIVOTS = 1
+CROWD = 64  # members of a bucket from which a better bound is worth counting
 SUBSET_COST = 3  # of making one subset, against reading one list entry
 PART = 0.3
 FREQUENT = 256
@@ -297,6 +298,26 @@ def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b").distinct()
 
 
+def tighter(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """The members with a better bound ``m`` where they stand in a crowded bucket.
+
+    All pairs left lie within one bucket, so a shingle that no other class of these buckets has cannot be shared.
+    Counting them is worth it only where one bucket holds many members: copies that differ too much from all
+    others would be compared with each of them.
+    """
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("bucket")
+    crowd = members.join(size, "bucket", "left_semi").select("class_id").distinct()
+    # Partners in smaller buckets count too, or their shingles would seem to be nobody's.
+    circle = members.join(members.join(crowd, "class_id", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+    sets = whole.join(circle.select("class_id").distinct(), "class_id", "left_semi").dropDuplicates(["class_id"])
+    each = stored(sets.select("class_id", F.explode("shingles").alias("s")), "crowd")
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("s")
+    shared = each.join(common, "s").join(crowd, "class_id", "left_semi")
+    shared = shared.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared"))
+    bound = crowd.join(shared, "class_id", "left").select("class_id", F.coalesce("shared", F.lit(0)).alias("shared"))
+    return members.join(bound, "class_id", "left").withColumn("m", F.least("m", F.coalesce("shared", "m"))).drop("shared")
+
+
 def link_classes(
     sets: DataFrame, whole: DataFrame, percent: int, boundary: int | None = None, pivots: int = PIVOTS
 ) -> DataFrame:
@@ -314,6 +335,8 @@ def link_classes(
         rest = members.where(F.col("place") >= turn).join(roots, "class_id")
         open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         rest = durable(rest.join(open_.where("lo < hi").select("bucket"), "bucket"))
+        if turn == pivots:
+            rest = durable(tighter(rest, whole))
         first = rest.where(F.col("place") == turn) if turn < pivots else rest
         pairs = first.join(rest.select("bucket", *other), "bucket").where(
             (F.col("place") < F.col("place_b")) & (F.col("root") != F.col("root_b")) & _possible(percent)
