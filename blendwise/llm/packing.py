@@ -10,6 +10,7 @@ which need no padding.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ class Encoder:
     tokens are ordinary text.
     """
 
-    KEEP = 250_000
+    KEEP = 150_000  # chunks of a generation; the one before it is kept too
     MARKS = b".,;:!?"
 
     def __init__(self, path: str):
@@ -60,6 +61,7 @@ class Encoder:
         self.code = "H" if size <= 1 << 16 else "I"
         self.end = np.array([END_ID], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.past: dict[bytes, bytes] = {}
 
     def _model(self, piece: str) -> bytes:
         found = self.pieces(piece)
@@ -68,7 +70,7 @@ class Encoder:
     def _chunk(self, chunk: bytes) -> bytes | None:
         """Ids of a plain word with marks; None for anything else."""
         word = chunk.rstrip(self.MARKS)
-        ids = self.known.get(word)
+        ids = self.known.get(word) or self.past.get(word)
         if ids is None:
             if word.isalpha():  # ASCII letters: spelled as they are
                 ids = self._model(word.decode())
@@ -90,18 +92,27 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunks = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
-        new = {c for doc in chunks for c in doc if c not in self.known}
-        if len(self.known) + len(new) > self.KEEP:
-            self.known = {}
-            new = {c for doc in chunks for c in doc}
-        known = self.known
+        new = set().union(*chunks)
+        if len(self.known) > self.KEEP:  # what is used again moves on to the next generation
+            self.past, self.known = self.known, {}
+        known, past = self.known, self.past
+        new = new.difference(known)
+        if past:
+            known.update((c, past[c]) for c in new if c in past)
+            new = new.difference(past)
         hard = [c for c in new if self._chunk(c) is None]
         for at in range(0, len(hard), 4096):
             part = hard[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
             for chunk, encoding in zip(part, found):
                 known[chunk] = struct.pack(f"<{len(encoding.ids)}{self.code}", *encoding.ids)
-        return [b"".join([known[c] for c in doc]) + self.end for doc in chunks]
+        return [b"".join(map(known.__getitem__, doc)) + self.end for doc in chunks]
+
+
+@functools.cache
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process: it loads once, and words stay known from task to task."""
+    return Encoder(path)
 
 
 def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +124,7 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
 
         def signature(ids: np.ndarray) -> int:
             first = ids.max()
@@ -289,6 +300,7 @@ def pack_documents(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_encoder.cache_clear()  # its memory is needed here
         rows: list[tuple] = []
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
