@@ -68,3 +68,12 @@ def log_gamma_draw(shape: Column, *key) -> Column:
         return F.coalesce(found, F.raise_error(F.lit("no gamma attempt was accepted")).cast("double"))
 
     return let(shape + F.lit(1.0 - 1.0 / 3.0), first_accepted)
+
+
+# P(X <= k) of a Poisson variable of mean 1; what lies beyond is less likely than one step of a 32-bit word.
+POISSON_ONE = [sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(12)]
+
+
+def poisson_one(number: Column) -> Column:
+    """A Poisson count of mean 1 from a uniform number, by inversion."""
+    return let(number, lambda u: sum((F.when(u > limit, 1).otherwise(0) for limit in POISSON_ONE), F.lit(0)))

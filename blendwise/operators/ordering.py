@@ -82,9 +82,13 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> Dat
     """
     by = list(by)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_copies"))
+    return join_same(df, ranks_of_counted(counts, by, value, out), [*by, value])
+
+
+def ranks_of_counted(counts: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """The shared rank of each distinct value of a group, from a table with its number of ``_copies``."""
     before = running_total(counts, by, [value], F.col("_copies"), "_before")
-    ranks = before.select(*by, value, (F.col("_before") + (F.col("_copies") + 1) / 2).alias(out))
-    return join_same(df, ranks, [*by, value])
+    return before.select(*by, value, (F.col("_before") + (F.col("_copies") + 1) / 2).alias(out))
 
 
 def with_tail_copies(df: DataFrame, number: str, span: int, bucket_size: int = BUCKET) -> tuple[DataFrame, Column]:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blendwise.functions.draws import digest, uniform
-from blendwise.operators.ordering import average_ranks, id_bucket, join_same, number_rows
+from blendwise.functions.draws import digest, poisson_one, uniform
+from blendwise.operators.ordering import join_same, number_rows, ranks_of_counted
 from blendwise.operators.weights import is_zero
+from blendwise.session import durable
 
 # Bins of the text report, of the weight plots and of the simulated losses.
 TEXT_BINS, PLOT_BINS, LOSS_BINS = 10, 20, 32
@@ -95,11 +96,29 @@ def configs_by_zero_count(weights: DataFrame, by: str = "index") -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ("target",)) -> DataFrame:
-    """Rank correlation per group, and in percent with two decimals."""
+    """Rank correlation per group, and in percent with two decimals; NULL if one side never varies.
+
+    Rows are first counted per distinct pair of values, so everything ordered or joined is free of copies. Ranks are
+    taken from their known mean, (n + 1) / 2, which keeps the sums exact enough for groups of any size.
+    """
     by = list(by)
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_ranks(average_ranks(pairs, by, x, "_rx"), by, y, "_ry")
-    found = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y)
+    pairs = durable(pairs.agg(F.count(F.lit(1)).alias("_copies")))
+    totals = pairs.groupBy(*by).agg(F.sum("_copies").alias("n"))
+    ranked = join_same(pairs, totals, by)
+    for value, out in ((x, "_rx"), (y, "_ry")):
+        counts = pairs.groupBy(*by, value).agg(F.sum("_copies").alias("_copies"))
+        ranked = join_same(ranked, ranks_of_counted(counts, by, value, out), [*by, value])
+    middle = (F.col("n") + 1) / 2
+    rx, ry = F.col("_rx") - middle, F.col("_ry") - middle
+    sums = ranked.groupBy(*by).agg(
+        F.max("n").alias("n"),
+        F.sum(F.col("_copies") * rx * ry).alias("_xy"),
+        F.sum(F.col("_copies") * rx * rx).alias("_xx"),
+        F.sum(F.col("_copies") * ry * ry).alias("_yy"),
+    )
+    spread = F.sqrt("_xx") * F.sqrt("_yy")
+    found = sums.select(*by, "n", F.when(spread > 0, F.col("_xy") / spread).alias("rho"))
     return found.withColumn("percent", F.round(F.col("rho") * 100, 2))
 
 
@@ -122,22 +141,20 @@ def mixture_summary(
 ) -> DataFrame:
     """Mean weight per domain and type with a bootstrap interval of the mean.
 
-    Each replica draws as many rows as the group has. Draws are spread over replicas and slices of the group, and
-    means combine before their shuffle, so neither a large group nor a large replica stays in one task.
+    The Poisson form: in each replica each row counts 0, 1, 2, … times, drawn from its own ``key``, which is unique in
+    its group. Rows stay where they are; only sums per group and replica move. A replica that drew no row is left out.
     """
     by = list(by)
-    numbered = number_rows(weights.select(*by, *key, "weight"), by, list(key), "_place")
     totals = weights.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean"))
-    slots = join_same(numbered.select(*by, F.col("_place").alias("_slot")), totals.select(*by, "n"), by)
-    slots = slots.withColumn("_replica", F.explode(F.sequence(F.lit(0), F.lit(boot - 1))))
-    u = uniform(digest(seed, "boot", *[F.col(c) for c in by], F.col("_replica"), F.col("_slot")))
-    spread = slots.repartition(*by, "_replica", id_bucket(F.col("_slot")))
-    picks = spread.select(*by, "_replica", F.floor(u * F.col("n")).alias("_place"))
-    drawn = join_same(picks, numbered.select(*by, "_place", "weight"), [*by, "_place"])
-    means = drawn.groupBy(*by, "_replica").agg(F.avg("weight").alias("_mean"))
+    drawn = weights.select(*by, *key, "weight", F.explode(F.sequence(F.lit(0), F.lit(boot - 1))).alias("_replica"))
+    hashed = digest(seed, "boot", *[F.col(c) for c in by], F.col("_replica"), *[F.col(c) for c in key])
+    drawn = drawn.where(F.col("weight").isNotNull()).withColumn("_copies", poisson_one(uniform(hashed)))
+    means = drawn.groupBy(*by, "_replica").agg(
+        F.try_divide(F.sum(F.col("_copies") * F.col("weight")), F.sum("_copies")).alias("_mean")
+    )
     # At most ``boot`` values per group.
     tail = (1 - level) / 2
     ends = means.groupBy(*by).agg(
         F.percentile("_mean", F.lit(tail)).alias("lo"), F.percentile("_mean", F.lit(1 - tail)).alias("hi")
     )
-    return join_same(totals, ends, by)
+    return join_same(totals, ends, by, "left")

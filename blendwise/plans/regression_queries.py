@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from blendwise.functions.draws import POISSON_ONE
 from blendwise.operators import history, regression, stats, synthesis, weights
 from blendwise.plans import recommend, views
 from blendwise.plans.views import (
@@ -254,7 +255,8 @@ def compare_to_prior(spark, folder):
     return found.withColumn("weight", rounded("weight"))
 
 
-BOOT_KEY = sql_digest(SEED, "'boot'", "domain", "type", "replica", "slot")
+BOOT_KEY = sql_digest(SEED, "'boot'", "domain", "type", "replica", "sample_id")
+BOOT_COPIES = " + ".join(f"(u > {limit!r}e0)::INT" for limit in POISSON_ONE)
 
 
 @query(
@@ -267,11 +269,10 @@ BOOT_KEY = sql_digest(SEED, "'boot'", "domain", "type", "replica", "slot")
         f"""both_types AS (SELECT -1 AS sample_id, domain, prior AS weight, 'Human' AS type FROM prior
                      UNION ALL SELECT sample_id, domain, weight, 'Optimal' FROM best_rows),
         totals AS (SELECT domain, type, count(*) AS n, avg(weight) AS mean FROM both_types GROUP BY 1, 2),
-        numbered AS (SELECT *, row_number() OVER (PARTITION BY domain, type ORDER BY sample_id) - 1 AS place FROM both_types),
-        picks AS (SELECT domain, type, replica, floor({sql_uniform(BOOT_KEY)} * n)::BIGINT AS place
-                  FROM (SELECT domain, type, place AS slot, n, unnest(range({REPLICAS})) AS replica
-                        FROM numbered JOIN totals USING (domain, type))),
-        replica_means AS (SELECT domain, type, replica, avg(weight) AS m FROM picks JOIN numbered USING (domain, type, place) GROUP BY 1, 2, 3)""",
+        draws AS (SELECT domain, type, replica, weight, {BOOT_COPIES} AS copies
+                  FROM (SELECT *, {sql_uniform(BOOT_KEY)} AS u
+                        FROM (SELECT *, unnest(range({REPLICAS})) AS replica FROM both_types))),
+        replica_means AS (SELECT domain, type, replica, sum(copies * weight) / nullif(sum(copies), 0) AS m FROM draws GROUP BY 1, 2, 3)""",
         recursive=True,
     ),
 )
