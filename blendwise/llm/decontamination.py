@@ -36,10 +36,11 @@ def _upto(last: Column) -> Column:
 
 
 def fingerprints(words: Column, n: Column, span: int = SPAN, gram: int = GRAM) -> Column:
-    """Array of (hash, place): the smallest gram hash of each window of ``span`` words, each choice once.
+    """Array of (hash, place): the smallest gram hash of each window of ``span`` words, the leftmost of equal ones.
 
-    Below ``span`` words there is none. The low four bits of a hash give way to those of its place, so that the
-    minimum carries its place along; equal windows still choose equal hashes.
+    Below ``span`` words there is none. The low four bits of a hash give way to its offset within the window, so that
+    the minimum carries its place along and equal windows choose the same gram wherever they stand. Places never
+    go back from window to window, so each is kept once.
     """
     per_window = span - gram + 1
     if per_window > 16:
@@ -49,27 +50,30 @@ def fingerprints(words: Column, n: Column, span: int = SPAN, gram: int = GRAM) -
         hashes,
         lambda h: F.transform(
             _upto(n - gram),
-            lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(gram)]).bitwiseAND(F.lit(~15)).bitwiseOR(
-                i.cast("long").bitwiseAND(F.lit(15))
-            ),
+            lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(gram)]).bitwiseAND(F.lit(~15)),
         ),
     )
     smallest = let(
         grams,
-        lambda g: F.transform(_upto(n - span), lambda i: F.least(*[F.get(g, i + j) for j in range(per_window)]))
+        lambda g: F.transform(
+            _upto(n - span), lambda i: F.least(*[F.get(g, i + j).bitwiseOR(F.lit(j)) for j in range(per_window)])
+        )
         if per_window > 1
         else g,
     )
-    return let(
+    chosen = let(
         smallest,
         lambda m: F.transform(
-            F.filter(_upto(n - span), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1))),
-            lambda i: F.struct(
-                F.shiftright(F.get(m, i), 4).alias("hash"),
-                (i + F.pmod(F.get(m, i).bitwiseAND(F.lit(15)).cast("int") - i, F.lit(16))).alias("place"),
+            m,
+            lambda v, i: F.struct(
+                F.shiftright(v, 4).alias("hash"), (i + v.bitwiseAND(F.lit(15)).cast("int")).alias("place")
             ),
         ),
     )
+    return let(
+        chosen,
+        lambda c: F.filter(c, lambda f, i: (i == 0) | (f["place"] != F.get(c, i - 1)["place"])),
+    )
 
 
 def _bounded(df: DataFrame) -> DataFrame:

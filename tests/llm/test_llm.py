@@ -84,6 +84,26 @@ def test_contamination_equals_brute_force(spark):
     assert len(kept.columns) == 5 + len(CLASH)
 
 
+@pytest.mark.parametrize("kind", ["equal", "two", "three", "seven", "twice"])
+def test_contamination_of_repeated_words_at_every_offset(spark, kind):
+    """Equal grams within a window must be chosen alike wherever the window stands."""
+    period = {"equal": 1, "two": 2, "three": 3, "seven": 7}
+    docs, items = [], []
+    for k in range(8):
+        if kind == "twice":
+            item = [f"g{k}x{i}" for i in range(13)]
+            item[7:12] = item[:5]
+        else:
+            item = [f"p{k}x{i % period[kind]}" for i in range(13)]
+        items.append((f"i{k}", " ".join(item)))
+        docs += [" ".join([f"b{k}n{i}" for i in range(before)] + item + ["end"]) for before in range(32)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontamination.contamination(frame(spark, docs), bench).collect()
+    want = {i: brute_hits(d, items) for i, d in enumerate(docs)}
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in got} == want
+    assert all(r.n_hit == 13 for r in got)
+
+
 def test_contamination_of_repeated_rows_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     docs = frame(spark, ["x a b c", "y"])
