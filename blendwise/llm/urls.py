@@ -54,10 +54,16 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return F.coalesce(*fits)
 
 
+def query_of(url: Column) -> Column:
+    """The query string with its question mark, up to any fragment."""
+    return F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
+
+
 def alias_key(url: Column) -> Column:
-    """Host and path without default port and final slash: what two spellings of one address share."""
+    """Host, path and query without default port and the path's final slash: what two spellings of one address share."""
     host = F.regexp_replace(host_of(url), r":(80|443)$", "")
-    return F.when(host != "", F.xxhash64(F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""))))
+    path = F.regexp_replace(path_of(url), r"/+$", "")
+    return F.when(host != "", F.xxhash64(F.concat(host, path, query_of(url))))
 
 
 def named_targets(url: Column, html: Column) -> Column:
@@ -76,10 +82,17 @@ def named_targets(url: Column, html: Column) -> Column:
     )
     scheme = F.regexp_extract(url, r"^[^:/?#]+", 0)
     folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    page = F.concat(scheme, F.lit("://"), host_of(url), path_of(url))
     whole = F.transform(
-        F.filter(found, lambda a: F.coalesce(a, F.lit("")) != ""),
-        lambda a: F.when(F.instr(a, "://") > 0, a)
+        # Ampersands between parameters are often escaped in attributes.
+        F.transform(
+            F.filter(found, lambda a: F.coalesce(a, F.lit("")) != ""),
+            lambda a: F.regexp_replace(a, r"(?i)&(?:amp|#0*38|#x0*26);", "&"),
+        ),
+        lambda a: F.when(a.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), a)
         .when(a.startswith("//"), F.concat(scheme, F.lit(":"), a))
+        .when(a.startswith("?"), F.concat(page, a))
+        .when(a.startswith("#"), F.concat(page, query_of(url), a))
         .when(a.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), a))
         .otherwise(F.concat(scheme, F.lit("://"), host_of(url), F.when(folder == "", "/").otherwise(folder), a)),
     )

@@ -287,6 +287,30 @@ def test_urls_rules_and_aliases(spark):
     assert {r.page_id: r.verdict for r in urls.judge_urls(df, moved).collect()}[7] == "block"
 
 
+def test_urls_with_queries_are_pages_of_their_own(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [
+        (0, "http://a.org/index.php?id=1", link("https://b.net/fr/"), "block"),
+        (1, "http://a.org/index.php?id=2", None, "allow"),
+        (2, "http://a.org/index.php", None, "allow"),
+        (3, "http://a.org/index.php?id=1#part", None, "block"),
+        (4, "http://a.org/watch?v=1&amp;w=2", None, "allow"),
+        (5, "http://a.org/watch?v=1&w=2", link("http://c.org/go?to=1&amp;from=2"), "block"),
+        (6, "http://c.org/go?to=1&from=2", link("//b.net/fr/"), "block"),
+        (7, "http://c.org/go?to=2&from=2", None, "allow"),
+        (8, "http://d.org/x/y?p=1", link("?p=2"), "block"),
+        (9, "http://d.org/x/y?p=2", link("http://b.net/fr/?q"), "block"),
+        (10, "http://d.org/x/y?p=3", link("#top"), "allow"),
+        (11, "http://e.org/in", link("/login?next=http://b.net/fr/"), "allow"),
+        (12, "http://f.org/?id=3", None, "block"),
+        (13, "http://f.org/?id=4", None, "allow"),
+    ]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    moved = spark.createDataFrame([("http://f.org?id=3", "http://a.org/index.php?id=1")], "from_url string, to_url string")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(df, moved).collect()}
+    assert got == {p[0]: p[3] for p in pages}
+
+
 # --- language, toxicity, quality -------------------------------------------------------------------------------------
 
 
