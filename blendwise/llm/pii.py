@@ -41,18 +41,29 @@ SPELLED = {
     "eight": "8", "nine": "9",
 }
 
+SPELLED_DIGITS = frozenset(SPELLED.values())
+
 _number = "(?:" + "|".join(SPELLED) + "|oh)"
-_gap = r"(?:[\x20\t\n,.-]{1,3})"
-RUN = re.compile(rf"(?i)\b(?:(?:plus|\+){_gap}?)?{_number}(?:{_gap}(?:{_number}|[0-9]|dot|point)){{3,}}\b")
-RUN_PART = re.compile(rf"(?i)plus|\+|{_number}|[0-9]|dot|point")
+_gap = r"(?:[\x20\t\n,.()-]{1,3})"
 _open, _close = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+_letter = r"[^\W\d_]"
+_figure = rf"(?:(?<!{_letter}){_number}(?!{_letter})|(?<![0-9])(?>[0-9]+))"
+_point = rf"(?:{_open}(?:dot|point|\.){_close}|{_gap}?(?<!{_letter})(?:dot|point)(?!{_letter}){_gap}?)"
+# Spelled digits and numerals of any length, in any order; a written dot counts only between two of them.
+RUN = re.compile(
+    rf"(?i)(?:(?:(?<!{_letter})plus(?!{_letter})|\+){_gap}?)?{_figure}(?:(?:{_point}|{_gap})?{_figure})+"
+)
+FIGURE = re.compile(rf"(?i){_figure}")
+POINT = re.compile(rf"(?i){_point}")
+RUN_MARK = re.compile(r"(?i)[a-z]|[\[({<]\s*\.\s*[\])}>]")
 _label = r"[A-Za-z0-9-]+"
 _at = rf"(?:{_open}at{_close}|{_open}@{_close}|\s+at\s+|\s*@\s*)"
 _dot = rf"(?:{_open}(?:dot|\.){_close}|\s+dot\s+|\.)"
-# A plain "at" counts only where a disguised dot follows: prose has "at" before real host names.
+# A plain "at" counts only where a disguised dot follows: prose has "at" before real host names. A local part without
+# a host matches too, so that the search goes on behind it and long chains cost linear time.
 MAIL = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_dot}[A-Za-z0-9_%+-]+){{0,3}}"
-    rf"(?:{_open}(?:at|@){_close}{_label}(?:{_dot}{_label})+|(?:\s+at\s+|@){_label}(?:{_dot}{_label})+)"
+    rf"(?i)(?<![A-Za-z0-9._%+-])(?>[A-Za-z0-9_%+-]+(?:{_dot}[A-Za-z0-9_%+-]+)*)"
+    rf"(?P<host>{_open}(?:at|@){_close}{_label}(?:{_dot}{_label})+|(?:\s+at\s+|@){_label}(?:{_dot}{_label})+)?"
 )
 MAIL_PART = re.compile(rf"(?i){_open}(?:at|@){_close}|\s+at\s+|{_open}(?:dot|\.){_close}|\s+dot\s+")
 FOREIGN = re.compile(
@@ -106,22 +117,58 @@ def identifiers(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def replacements(text: str) -> list[tuple[int, int, str]]:
+READINGS = [(tight, first, last) for tight in (0, 1) for first in (0, 1) for last in (0, 1)]
+
+
+def run_edits(text: str, run: re.Match, reading: tuple[int, int, int], ip_ends: set[int]) -> list[tuple[int, int, str]]:
+    """Figures of a run as digits, written dots as dots.
+
+    Gaps between single figures stand for nothing. Those beside longer numerals become one blank, as in phone and card
+    numbers, or in a tight reading nothing, as within an address. A plain dot at a numeral stays, and so do the ends of
+    plain addresses. A reading can leave the first or last figure to the prose, where it is a word.
+    """
+    tight, first, last = reading
+    figures = list(FIGURE.finditer(text, run.start(), run.end()))
+    head = text[run.start() : figures[0].start()]
+    if first and not head and not figures[0][0].isdigit():
+        figures = figures[1:]
+    if last and figures and not figures[-1][0].isdigit():
+        figures = figures[:-1]
+    if len(figures) < 2:
+        return []
+    edits = [(run.start(), figures[0].start(), "+")] if head else []
+    for f in figures:
+        if not f[0].isdigit():
+            edits.append((f.start(), f.end(), SPELLED.get(f[0].lower(), "0")))
+    # Whether the figure is one digit, standing alone.
+    single = [not f[0].isdigit() or len(f[0]) == 1 and text[f.start() - 1 : f.start()] != "." for f in figures]
+    for k, (f, g) in enumerate(zip(figures, figures[1:])):
+        start, end = f.end(), g.start()
+        numerals = f[0].isdigit() + g[0].isdigit()
+        if POINT.fullmatch(text, start, end):
+            edits.append((start, end, "."))
+        elif start == end or text[start:end] == "." and numerals:
+            continue
+        elif single[k] and single[k + 1] or tight and numerals < 2 and start not in ip_ends and end not in ip_ends:
+            edits.append((start, end, ""))
+        elif numerals < 2:
+            edits.append((start, end, " "))
+    return edits
+
+
+def replacements(
+    text: str, reading: tuple[int, int, int] = READINGS[0], plain: list[tuple[int, str, int]] = ()
+) -> list[tuple[int, int, str]]:
     """What the transducer rewrites: (start, end, new text), in order and not overlapping."""
     edits: list[tuple[int, int, str]] = []
-    low = text.lower() if text.isascii() else "".join(c.lower() if c < "\x80" else c for c in text)
-    if any(w in low for w in SPELLED if w != "one") or low.count("one") >= 4:
-        for run in RUN.finditer(text):
-            for part in RUN_PART.finditer(text, run.start(), run.end()):
-                word = part[0].lower()
-                new = SPELLED.get(word) or {"oh": "0", "plus": "+", "dot": ".", "point": "."}.get(word, word)
-                edits.append((part.start(), part.end(), new))
-            # Blanks between two spelled digits stand for nothing.
-            inner = [e for e in edits if run.start() <= e[0] < run.end()]
-            for (_, end, _), (start, _, _) in zip(inner, inner[1:]):
-                edits.append((end, start, ""))
+    ip_ends = {at for s, kind, e in plain if kind == "ip" for at in (s, e)}
+    for run in RUN.finditer(text):
+        if RUN_MARK.search(text, run.start(), run.end()):
+            edits += run_edits(text, run, reading, ip_ends)
     if DISGUISED_MARK.search(text) or DISGUISED_DOT.search(text):
         for mail in MAIL.finditer(text):
+            if not mail["host"]:
+                continue
             parts = list(MAIL_PART.finditer(text, mail.start(), mail.end()))
             plain_at = any(p[0].strip().lower() == "at" for p in parts)
             hidden_dot = any("dot" in p[0].lower() or any(b in p[0] for b in "[({<") for p in parts)
@@ -141,11 +188,31 @@ def replacements(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
-def disguised(text: str) -> list[tuple[int, str, int]]:
-    """Identifiers that show only in the rewritten text, as spans of the source."""
-    edits = replacements(text)
+def disguised(text: str, plain: list[tuple[int, str, int]] = ()) -> list[tuple[int, str, int]]:
+    """Identifiers that show only in the rewritten text, as spans of the source: the widest of all readings."""
+    edits = replacements(text, plain=plain)
     if not edits:
         return []
+    found = set(_shown(text, edits))
+    # Readings differ only in runs with words.
+    if any(new in SPELLED_DIGITS for _, _, new in edits):
+        seen = [edits]
+        for reading in READINGS[1:]:
+            edits = replacements(text, reading, plain)
+            if edits not in seen:
+                seen.append(edits)
+                found.update(_shown(text, edits))
+    kept: list[tuple[int, str, int]] = []
+    for kind in KINDS:
+        last = -1
+        for s, _, e in sorted((f for f in found if f[1] == kind), key=lambda f: (f[0], -f[2])):
+            if e > last:
+                kept.append((s, kind, e))
+                last = e
+    return kept
+
+
+def _shown(text: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, str, int]]:
     out, begin, finish, touched, at = [], [], [], [], 0
     for start, end, new in [*edits, (len(text), len(text), "")]:
         out.append(text[at:start])
@@ -171,7 +238,7 @@ def personal_data(text: str | None) -> tuple[list[tuple[int, str, int]], list[tu
     known = {(kind, s, e) for s, kind, e in base}
     more = [
         (s, kind, e)
-        for s, kind, e in set(disguised(text))
+        for s, kind, e in set(disguised(text, base))
         if not any(k == kind and a <= s and e <= b for k, a, b in known)
     ]
     return base, sorted(base + more, key=order)

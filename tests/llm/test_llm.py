@@ -454,6 +454,42 @@ def test_disguises_map_back_to_the_source(text, part, kind):
     assert part not in pii.redact(text, spans)
 
 
+@pytest.mark.parametrize(
+    ("part", "kind"),
+    [
+        ("192[.]168[.]0[.]17", "ip"),
+        ("192 dot 168 dot 0 dot 17", "ip"),
+        ("192 (dot) 168 { . } 0<dot>17", "ip"),
+        ("192dot168DOT0 point 255", "ip"),
+        ("192.168.one.17", "ip"),
+        ("192 dot one 68 dot zero dot 1 seven", "ip"),
+        ("+1 555 one two three 4567", "phone"),
+        ("+1 (555) one two three 4567", "phone"),
+        ("+49 one seven zero 1234567", "phone"),
+        ("plus 49 one 70 12 three 4567", "phone"),
+        ("+49 170 12345 six seven", "phone"),
+        ("4111 one one one one 1111 1111", "card"),
+        ("four 111 1111 1111 one 111", "card"),
+        ("a.b.c.d.e [at] site [dot] org", "email"),
+        ("a dot b dot c dot d dot e dot f at site dot org", "email"),
+    ],
+)
+def test_mixed_disguises_are_found_whole(part, kind):
+    for text in (part, f"see {part} two days ago", f"x: {part}; 12 and one."):
+        base, spans = pii.personal_data(text)
+        at = text.index(part)
+        assert any(k == kind and s <= at and at + len(part) <= e for s, k, e in spans), (text, spans)
+        assert set(base) <= set(spans)
+
+
+def test_plain_numbers_beside_words_stay_as_they_are():
+    for text in ("from 10.0.0.1 one of two", "in 2019, one 2020 and two 12 of 3 point 5", "seven 10.0.0.1"):
+        base, spans = pii.personal_data(text)
+        assert base == spans
+    slow = ["9" * 200_000, "a dot " * 50_000, "a." * 100_000 + " [at] ", "1 two " * 30_000, "1 " * 100_000 + "one"]
+    assert all(pii.redact(t, pii.personal_data(t)[1]) is not None for t in slow)
+
+
 def test_prose_is_left_alone():
     for text in ("we met at example.com today", "one or two at a time, three dot", "Привет мир", "Ἀθήνα 3.5", "look at this. dot", "five six"):
         assert pii.personal_data(text) == ([], [])
