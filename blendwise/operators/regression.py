@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +106,26 @@ def predict(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+def residual_products(scored: DataFrame, target: str, names: Sequence[str], intercept: str = "intercept") -> DataFrame:
+    """(feature, n, residual) of a scored table: its normal equations, which are zero for the least-squares fit.
+
+    ``residual`` is the sum over all rows of feature times error, as a share of the sum of feature times target in
+    absolute values. The intercept counts as a feature that is always one.
+    """
+    values = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    labels = F.array(*[F.lit(name) for name in [*names, intercept]])
+    cells = scored.select(
+        F.explode(F.zip_with(labels, values, lambda name, x: F.struct(name.alias("feature"), x.alias("x")))).alias("c"),
+        F.col(target).alias("loss"),
+        (F.col(target) - F.col("prediction")).alias("error"),
+    )
+    size = F.sum(F.abs(F.col("c.x") * F.col("loss")))
+    return cells.groupBy(F.col("c.feature").alias("feature")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.when(size > 0, F.sum(F.col("c.x") * F.col("error")) / size).otherwise(0.0).alias("residual"),
+    )
+
+
 def predict_linear(samples: DataFrame, coefficients: DataFrame, intercept: float = 0.0) -> DataFrame:
     """Predictions from a table (domain, coefficient), without moving the samples."""
     product = F.zip_with("weights", "_domains", lambda w, d: w * d["coefficient"])

@@ -114,6 +114,32 @@ def fit_linear(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+FEATURES = ", ".join(f"('{name}')" for name in (*BRANDS, "intercept"))
+
+
+@query(
+    "r3_fit_linear_domains",
+    with_ctes(
+        f"""SELECT target, feature, n, 0e0 AS residual
+            FROM (VALUES {", ".join(f"('{t}')" for t in TARGETS)}) AS t(target), (VALUES {FEATURES}) AS f(feature),
+                 (SELECT count(DISTINCT "index") AS n FROM mix JOIN losses USING ("index"))""",
+        MIXTURE,
+        LOSSES,
+    ),
+)
+def fit_linear_domains(spark, folder):
+    """Linear models on all domains and configs; least squares leaves no residual product for any feature."""
+    rows = durable(table(spark, folder))
+    models = regression.fit_linear(rows, TARGETS)
+    parts = [
+        regression.residual_products(regression.predict(models[t], rows), t, BRANDS).select(
+            F.lit(t).alias("target"), "feature", "n", rounded("residual").alias("residual")
+        )
+        for t in TARGETS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("r4_predict")
 def predict(spark, folder):
     """Linear models on all domains, applied to all configs."""

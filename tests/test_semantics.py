@@ -564,3 +564,16 @@ def test_first_trees_predict_like_a_shorter_fit(spark):
     long, short = (GBTRegressor(labelCol="y", maxIter=n, stepSize=0.1, maxDepth=2, seed=1).fit(df) for n in (6, 3))
     cut = regression.first_trees(long, 3)
     assert [r.prediction for r in cut.transform(df).collect()] == [r.prediction for r in short.transform(df).collect()]
+
+
+def test_residual_products_show_domains_left_out_of_a_fit(spark):
+    rows = [(i, (i % 7) / 10, (i * i % 11) / 20, 3 + (i % 7) * 2.0 - (i * i % 11) + i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "index long, a double, b double, loss double")
+    whole = regression.assemble(df, ["a", "b"])
+    for names, zero in ((["a", "b"], True), (["a"], False)):
+        model = regression.fit_linear(regression.assemble(df, names), ["loss"])["loss"]
+        scored = model.setFeaturesCol("some").transform(regression.assemble(whole, names, "some"))
+        got = {r.feature: r for r in regression.residual_products(scored, "loss", ["a", "b"]).collect()}
+        assert set(got) == {"a", "b", "intercept"} and all(r.n == 60 for r in got.values())
+        assert (abs(got["b"].residual) < 1e-9) == zero
+        assert abs(got["a"].residual) < 1e-9 and abs(got["intercept"].residual) < 1e-9
