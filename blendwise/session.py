@@ -51,6 +51,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove one written table that nothing reads any more, through the file system that holds it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, stored reliably, so later stages neither recompute nor re-partition them."""
     shared_folder(df.sparkSession)
