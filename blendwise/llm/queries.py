@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blendwise.llm import (
+    codes,
+    collocations,
     decontamination,
     jaccard,
     language,
@@ -13,6 +15,7 @@ from blendwise.llm import (
     packing,
     pii,
     quality,
+    rules,
     sharding,
     toxicity,
     urls,
@@ -158,3 +161,142 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         _joined("spans").alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
     )
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH p AS (
+  SELECT lang, row_number() OVER () AS piece, w FROM (
+    SELECT lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS s FROM documents)) WHERE len(w) > 0),
+g AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, range(1, 6) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, n.n, cut,
+    (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ') JOIN n ON n.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM s),
+kept AS (
+  SELECT * FROM best WHERE pick = 1 AND NOT EXISTS (
+    SELECT 1 FROM f WHERE f.lang = best.lang AND f.k > best.k AND f.f >= best.a
+      AND contains(' ' || f.phrase || ' ', ' ' || best.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, folder, "embeddings"))
+
+
+def _code_sql() -> str:
+    """Each round as two tables: the nearest entries, and the codebook they make."""
+    size = codes.PARTS
+
+    def near(book: str) -> str:
+        return f"""
+SELECT rid, part, entry, d FROM (
+  SELECT x.rid, x.part, b.entry, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS d,
+    row_number() OVER (PARTITION BY x.rid, x.part ORDER BY d, b.entry) AS pick
+  FROM x JOIN {book} AS b ON b.part = x.part) WHERE pick = 1"""
+
+    rounds = "".join(
+        f""",
+a{i} AS MATERIALIZED ({near(f"b{i}")}),
+b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{i} AS b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT part, entry, i, sum(c) AS s, count(*) AS n FROM (
+        SELECT part, entry, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM x JOIN a{i} USING (rid, part))
+      GROUP BY part, entry, i) GROUP BY part, entry) AS m ON m.part = b.part AND m.entry = b.entry)"""
+        for i in range(codes.ROUNDS)
+    )
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT rid, part, v[part * (len(v) // {size}) + 1:(part + 1) * (len(v) // {size})] AS v FROM k, range({size}) AS parts(part)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM x WHERE rid <= {codes.ENTRIES}){rounds},
+z AS MATERIALIZED ({near(f"b{codes.ROUNDS}")}),
+e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM b{codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM k JOIN e USING (rid), h"""
+
+
+ORACLES["op12_vector_codes"] = _code_sql()
+
+
+@query
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = rules.judge_quality(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _rules_sql() -> str:
+    gone = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    taken = {name: gone(pattern) for name, pattern in rules.KINDS}
+    taken["mark"] += " - lower_ - upper_ - digit_ - stop_ - symbol_"
+    kinds = ", ".join(f"{sql} AS {name}_" for name, sql in taken.items())
+    names = [f"{name}_" for name in taken]
+    far = lambda a, b: f"""sqrt(greatest(list_sum(list_transform(range(1, len({a}) + 1), lambda i:
+      CASE WHEN {a}[i] > 0 THEN {a}[i] / list_sum({a}) * log2(2 * ({a}[i] / list_sum({a})) / ({a}[i] / list_sum({a}) + {b}[i] / list_sum({b}))) ELSE 0 END / 2
+      + CASE WHEN {b}[i] > 0 THEN {b}[i] / list_sum({b}) * log2(2 * ({b}[i] / list_sum({b})) / ({a}[i] / list_sum({a}) + {b}[i] / list_sum({b}))) ELSE 0 END / 2)), 0))"""
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, 'und') AS lang,
+    string_split_regex(t, '[ 	-]+') AS parts, list_filter(parts, lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines, {kinds}
+  FROM documents),
+k AS MATERIALIZED (SELECT *, [{', '.join(names)}, length(t) - {' - '.join(names)}] AS kinds FROM d),
+win AS (SELECT rid, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (
+  SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+cov AS (SELECT rid, count(DISTINCT q) AS n FROM (
+  SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM win JOIN (
+    SELECT rid, g FROM win GROUP BY ALL HAVING count(*) > 1) USING (rid, g)) GROUP BY rid),
+big AS (SELECT * FROM k WHERE len(parts) >= {rules.GUARD_WORDS + 2}),
+rk AS (SELECT lang, list(s ORDER BY i) AS ref_kinds FROM (
+  SELECT lang, i, sum(c) AS s FROM (SELECT lang, unnest(kinds) AS c, unnest(range(len(kinds))) AS i FROM big) GROUP BY ALL) GROUP BY lang),
+wc AS (SELECT lang, CASE WHEN length(x) <= {rules.LONGEST_COMMON} THEN x END AS x, count(*) AS n FROM (
+  SELECT lang, unnest(w) AS x FROM big) GROUP BY ALL),
+top AS (SELECT lang, list(x ORDER BY place) AS xs, list(n ORDER BY place) AS ns FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS place FROM wc WHERE x IS NOT NULL)
+  WHERE place <= {rules.COMMON} GROUP BY lang),
+tot AS (SELECT lang, sum(n) AS total FROM wc GROUP BY lang),
+r AS (SELECT tot.lang, ref_kinds, coalesce(xs, []) AS xs, coalesce(ns, []) AS ns, total
+  FROM tot JOIN rk USING (lang) LEFT JOIN top USING (lang)),
+own AS (SELECT rid, list(n ORDER BY place) AS counts FROM (
+  SELECT k.rid, place, count(y.x) AS n FROM k JOIN r USING (lang), unnest(range(1, len(xs) + 1)) AS u(place)
+  LEFT JOIN (SELECT rid, unnest(w) AS x FROM k) AS y ON y.rid = k.rid AND y.x = r.xs[place] GROUP BY ALL) GROUP BY rid),
+j AS (
+  SELECT k.doc_id, len(w) AS n_words, length(t) - blank_ - line_ AS word_chars, symbol_ AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, kinds, ref_kinds, total,
+    list_append(counts, len(w) - list_sum(counts)) AS own, list_append(ns, total - list_sum(ns)) AS ref_counts
+  FROM k LEFT JOIN cov USING (rid) LEFT JOIN r USING (lang) LEFT JOIN own USING (rid)),
+m AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed,
+  CASE WHEN n_words >= {rules.GUARD_WORDS} AND total >= {rules.GUARD_REFERENCE} THEN
+    {far("kinds", "ref_kinds")} > {rules.CLASS_LIMIT} OR {far("own", "ref_counts")} > {rules.WORD_LIMIT} ELSE false END AS far
+  FROM j)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(far, false) AS kept
+FROM m"""
+
+
+ORACLES["op13_quality_rules"] = _rules_sql()
