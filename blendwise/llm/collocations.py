@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ PERIOD = 8
 BITS = 1 << 24
 LEAST = 100
 BEST = 2000
-HELD = 100_000  # distinct keys that a task adds up before it hands them on
+HELD = 200_000  # distinct chunks that a task adds up before it hands them on
 #: Marks that end a piece become line feeds, tabs become blanks.
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 
@@ -53,94 +54,108 @@ def chunks_of(words: list[bytes]) -> Iterator[tuple[list[bytes], bool]]:
     yield words[begin:], True
 
 
-def _counted(add, columns: int, schema: str):
-    """A function over batches that adds up what ``add(counter, row…)`` puts in, in bounded memory."""
-    names = [part.split()[0] for part in schema.split(", ")]
+def chunk_dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, chunk, n): distinct chunks of each language, words joined by a blank, and their parse frequency.
+
+    A chunk that the piece goes on after has a line feed at its end. Tasks add up copies before they hand them on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[str, Counter] = {}
 
-    def batch_of(counter: Counter) -> pa.RecordBatch:
-        keys = list(zip(*counter)) if counter else [()] * (len(names) - 1)
-        kinds = [pa.bool_() if name == "ends" else pa.string() for name in names[:-1]]
-        arrays = [pa.array(k, pa.binary()).cast(kind) if kind == pa.string() else pa.array(k, kind) for k, kind in zip(keys, kinds)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(list(counter.values()), pa.int64())], names)
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for lang, counter in counters.items():
+                chunks = pa.array(list(counter), pa.binary()).cast(pa.string())
+                langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(chunks), np.int32)))
+                counts = pa.array(list(counter.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([langs, chunks, counts], ["lang", "chunk", "n"])
+            counters.clear()
 
-    def run(batches):
-        counter: Counter = Counter()
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(columns))):
-                add(counter, *(value.as_py() for value in row))
-                if len(counter) >= HELD:
-                    yield batch_of(counter)
-                    counter.clear()
-        yield batch_of(counter)
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                counter = counters.setdefault(lang.as_py(), Counter())
+                for words in pieces_of(text.as_py()):
+                    for chunk, ends in chunks_of(words):
+                        counter[b" ".join(chunk) if ends else b" ".join(chunk) + b"\n"] += 1
+                if sum(map(len, counters.values())) >= HELD:
+                    yield from emptied()
+        yield from emptied()
 
-    return run
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col))
+    found = rows.mapInArrow(run, "lang string, chunk string, n long")
+    return stored(found.groupBy("lang", "chunk").agg(F.sum("n").alias("n")), "chunks")
 
 
-def chunk_dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, chunk, ends, n): distinct chunks of each language, words joined by a blank, and their parse frequency."""
-    schema = "lang string, chunk string, ends boolean, n long"
+def _placed_words(chunks: DataFrame) -> DataFrame:
+    """(lang, n, words, i, first): every word a chunk counts, with its place and all words of the chunk.
 
-    def add(counter, lang, text):
-        key = (lang or "").encode("utf-8", "surrogatepass")
-        for words in pieces_of(text):
-            for chunk, ends in chunks_of(words):
-                counter[key, b" ".join(chunk), ends] += 1
+    Words of a window that two chunks share count in the second.
+    """
+    cut = F.col("chunk").endswith("\n")
+    words = F.split(F.rtrim("chunk", F.lit("\n")), " ")
+    rows = chunks.select("lang", "n", words.alias("words"), cut.alias("cut"))
+    # The outer form: for the inner one Spark adds a size check that would split every chunk a second time.
+    each = rows.select("lang", "n", "words", "cut", F.posexplode_outer("words").alias("i", "first"))
+    return each.where(~F.col("cut") | (F.col("i") < F.size("words") - OVERLAP))
 
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col))
-    found = rows.mapInArrow(_counted(add, 2, schema), schema)
-    return stored(found.groupBy("lang", "chunk", "ends").agg(F.sum("n").alias("n")), "chunks")
+
+def _summed(found: DataFrame) -> DataFrame:
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def count_words(chunks: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of all words; words of a window that two chunks share count in the second."""
-    words = F.split("chunk", " ")
-    own = F.when(F.col("ends"), words).otherwise(F.slice(words, F.lit(1), F.size(words) - OVERLAP))
-    # The outer form: for the inner one Spark adds a size check that would split every chunk a second time.
-    each = chunks.select("lang", F.explode_outer(own).alias("phrase"), "n").where("phrase IS NOT NULL")
-    return each.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    """(lang, phrase, f) of all words."""
+    return _summed(_placed_words(chunks).select("lang", F.col("first").alias("phrase"), "n"))
+
 
+def _place(lang: Column | str, phrase: Column | str) -> Column:
+    return F.crc32(F.concat_ws("\n", lang, phrase).cast("binary")).bitwiseAND(F.lit(BITS - 1))
 
-def bit_table(phrases: DataFrame) -> bytes:
-    """``BITS`` bits, set where a phrase's checksum falls; at most ``BITS / 64`` numbers reach the driver."""
-    place = F.crc32(F.concat_ws("\n", "lang", "phrase").cast("binary")).bitwiseAND(F.lit(BITS - 1))
+
+def bit_table(phrases: DataFrame) -> Column:
+    """A scalar: ``BITS`` bits as an array of longs, set where a phrase's checksum falls.
+
+    At most ``BITS / 64`` numbers pass the driver.
+    """
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    masks = phrases.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("mask"))
-    rows = masks.toArrow()
+    masks = phrases.select(_place("lang", "phrase").alias("place")).groupBy(F.shiftright("place", 6).alias("at"))
+    rows = masks.agg(F.bit_or(bit).alias("mask")).toArrow()
     table = np.zeros(BITS // 64, np.int64)
     table[rows["at"].to_numpy()] = rows["mask"].to_numpy()
-    return table.tobytes()
-
-
-def count_phrases(chunks: DataFrame, frequent: DataFrame, pairs: bool) -> DataFrame:
-    """(lang, phrase, f): pairs of frequent words, or phrases of 3 to ``LONGEST`` words whose pairs are frequent."""
-    sent = chunks.sparkSession.sparkContext.broadcast(bit_table(frequent))
-    schema = "lang string, phrase string, n long"
-    shortest, longest = (2, 2) if pairs else (3, LONGEST)
-
-    def run(batches):
-        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").tobytes()
-        seeds: dict[str, tuple[bytes, int]] = {}
-
-        def add(counter, lang, chunk, ends, n):
-            if lang not in seeds:
-                key = lang.encode("utf-8", "surrogatepass")
-                seeds[lang] = key, zlib.crc32(key + b"\n")
-            key, seed = seeds[lang]
-            words = chunk.encode("utf-8", "surrogatepass").split(b" ")
-            own = len(words) if ends else len(words) - OVERLAP
-            units = words if pairs else [a + b" " + b for a, b in zip(words, words[1:])]
-            known = [bits[zlib.crc32(unit, seed) & (BITS - 1)] for unit in units]
-            reach = 0  # known units in a row from here on
-            for i in range(len(units) - 1, -1, -1):
-                reach = reach + 1 if known[i] else 0
-                if i < own:
-                    for size in range(shortest, min(longest, reach if pairs else reach + 1) + 1):
-                        counter[key, b" ".join(words[i : i + size])] += n
-
-        yield from _counted(add, 4, schema)(batches)
-
-    found = chunks.select("lang", "chunk", "ends", "n").mapInArrow(run, schema)
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    lists = pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table))
+    return phrases.sparkSession.createDataFrame(pa.table({"bits": lists})).scalar()
+
+
+def _known(bits: Column, phrase: Column) -> Column:
+    place = _place("lang", phrase)
+    word = F.get(bits, F.shiftright(place, 6).cast("int"))
+    return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _has(offset: int) -> Column:
+    """Whether a word stands so far behind; as a comparison of numbers, from which no second split is inferred."""
+    return F.coalesce(F.col("i") + offset < F.size("words"), F.lit(False))
+
+
+def count_pairs(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of pairs of frequent words."""
+    bits = bit_table(words)
+    second = F.get("words", F.col("i") + 1)
+    rows = _placed_words(chunks).where(_has(1) & _known(bits, F.col("first")) & _known(bits, second))
+    return _summed(rows.select("lang", F.concat_ws(" ", "first", second).alias("phrase"), "n"))
+
+
+def count_longer(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of phrases of 3 to ``LONGEST`` words all of whose pairs are frequent."""
+    bits = bit_table(pairs)
+    word = lambda j: F.get("words", F.col("i") + j)
+    pair = lambda j: _has(j + 1) & _known(bits, F.concat_ws(" ", word(j), word(j + 1)))
+    phrase = lambda size: F.concat_ws(" ", *[word(j) for j in range(size)])
+    rows = _placed_words(chunks).where(pair(0) & pair(1))
+    sizes = range(4, LONGEST + 1)
+    reach = [F.when(reduce(Column.__and__, [pair(j) for j in range(2, size - 1)]), phrase(size)) for size in sizes]
+    each = rows.select("lang", "n", F.explode(F.array(phrase(3), *reach)).alias("phrase"))
+    return _summed(each.where("phrase IS NOT NULL").select("lang", "phrase", "n"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -150,8 +165,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text"
     words = stored(count_words(chunks), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     known = words.where(F.col("f") >= least)
-    pairs = stored(count_phrases(chunks, known, True).where(F.col("f") >= least), "pairs")
-    longer = count_phrases(chunks, pairs, False).where(F.col("f") >= least)
+    pairs = stored(count_pairs(chunks, known).where(F.col("f") >= least), "pairs")
+    longer = count_longer(chunks, pairs).where(F.col("f") >= least)
     every = known.unionByName(pairs).unionByName(longer)
     return stored(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), "phrases"), totals
 
