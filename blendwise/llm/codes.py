@@ -228,7 +228,8 @@ def compress_vectors(vectors: DataFrame, **options) -> DataFrame:
     labels together, and is NULL if the sum passes 64 bits. Repeated rows get equal codes and all count.
     """
     rows, books = train_codes(vectors, **options)
-    sums = rows.groupBy("label").agg(F.try_sum("error").alias("label_error")).withColumnRenamed("label", "_label")
+    whole = F.when(F.count("error") == F.count(F.lit(1)), F.try_sum("error"))
+    sums = rows.groupBy("label").agg(whole.alias("label_error")).withColumnRenamed("label", "_label")
     small = sums.count() <= SMALL
     joined = rows.join(F.broadcast(sums) if small else sums, F.col("label").eqNullSafe(F.col("_label")))
     return joined.select(

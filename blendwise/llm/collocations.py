@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blendwise.llm.common import stored
+from blendwise.llm.common import forget, stored
 
 LONGEST = 5
 OVERLAP = LONGEST - 1
@@ -163,12 +163,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text"
     (lang, n) with the number of words of each language."""
     chunks = chunk_dictionary(docs, text_col, lang_col)
     words = stored(count_words(chunks), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     known = words.where(F.col("f") >= least)
     pairs = stored(count_pairs(chunks, known).where(F.col("f") >= least), "pairs")
     longer = count_longer(chunks, pairs).where(F.col("f") >= least)
     every = known.unionByName(pairs).unionByName(longer)
-    return stored(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), "phrases"), totals
+    phrases = stored(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), "phrases")
+    forget(chunks, words, pairs)
+    return phrases, totals
 
 
 def _words(phrase: Column, begin: Column | int, count: Column | int) -> Column:

@@ -388,15 +388,19 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id; documents without words all stay.
 
-    Rows repeated under the id that stays are reduced to one, the one with the smallest text hash.
+    Rows repeated under the id that stays are reduced to one, the one with the smallest text hash. All columns pass,
+    whatever their names; an empty table gives an empty result.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("n_shingles > 0")
     home = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = found.where(home).groupBy("component_class", "doc_id").agg(F.min("text_hash").alias("_keep_hash"))
     kept = kept.select(F.col("doc_id").alias("_keep_id"), "_keep_hash")
-    hashed = docs.withColumn("_keep_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     # Same words as the shingles: a text is empty if it has nothing but ASCII white space.
-    wordless = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    same = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_keep_text") == F.col("_keep_hash"))
-    matched = hashed.where(~wordless).join(kept, same).dropDuplicates(["_keep_id", "_keep_hash"])
-    return matched.select(docs.columns).union(docs.where(wordless))
+    wordless = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z")
+    # One struct, so that no column of the documents can clash with the keys.
+    rows = docs.where(~wordless).select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")
+    )
+    same = F.col("i").eqNullSafe(F.col("_keep_id")) & (F.col("h") == F.col("_keep_hash"))
+    matched = rows.join(kept, same).dropDuplicates(["i", "h"])
+    return matched.select(*[F.col("row")[c].alias(c) for c in docs.columns]).union(docs.where(wordless))

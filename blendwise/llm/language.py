@@ -7,7 +7,6 @@ probabilities are calibrated by one temperature on a part of that sample that th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,11 @@ TRAIN_PER_LANGUAGE = 400  # documents at most, but for the spread of a hash
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; fractions and superscripts are none."""
+    return any(map(str.isalpha, text))
 
 
 def gram_buckets(text: str, bits: int = BITS) -> np.ndarray:
@@ -116,7 +119,7 @@ class LanguageModel:
         self.languages, self.weights, self.idf, self.temperature = languages, weights, idf, temperature
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNKNOWN, 0.0
         at, x = vector(text, self.idf)
         p = softmax((x @ self.weights[at] + self.weights[-1]) / self.temperature)
@@ -138,7 +141,7 @@ def train(learn: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageM
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [vector(v.as_py(), idf) for v in batch.column(1)]
-            keep = [bool(LETTER.search(v.as_py())) for v in batch.column(1)]
+            keep = [has_letter(v.as_py()) for v in batch.column(1)]
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

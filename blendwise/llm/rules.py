@@ -106,7 +106,8 @@ def distance(a: Column, b: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.when(p.isNotNull(), F.lit(0.0)))
 
     both = F.zip_with(shares(a), shares(b), lambda p, q: (part(p, q) + part(q, p)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda x, y: x + y), F.lit(0.0)))
+    divergence = F.aggregate(both, F.lit(0.0), lambda x, y: x + y)
+    return let(divergence, lambda d: F.sqrt(F.when(d < 0, 0.0).otherwise(d)))  # below 0 by rounding only
 
 
 def _language(lang_col: str) -> Column:

@@ -26,8 +26,10 @@ LAW = "rows"
 
 def ring_points(spark: SparkSession, shards: int, virtual_nodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted points of the ring and the shard of each."""
+    shard, replica = F.floor(F.col("id") / virtual_nodes), F.col("id") % virtual_nodes
     nodes = spark.range(shards * virtual_nodes).select(
-        F.xxhash64(F.lit("ring"), "id").alias("point"), (F.col("id") % shards).cast("int").alias("shard")
+        # A point depends on its shard and replica alone, so other shards' points stay when one comes or goes.
+        F.xxhash64(F.lit("ring"), shard, replica).alias("point"), shard.cast("int").alias("shard")
     )
     rows = sorted(nodes.collect())  # bounded by the two parameters
     return np.array([r.point for r in rows]), np.array([r.shard for r in rows])

@@ -240,7 +240,7 @@ def test_nearest_equal_brute_force(spark, monkeypatch):
     vectors = rng.normal(0, 1, (300, 5))
     vectors[40:80] = vectors[40]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    odd = [(300, None), (320, [0.0] * 5), (340, [1.0, None, 0, 0, 0]), (360, [float("nan")] * 5), (380, [float("inf")] * 5), (400, []), (420, [1.0, 2.0])]
+    odd = [(300, None), (320, [0.0] * 5), (340, [1.0, None, 0.0, 0.0, 0.0]), (360, [float("nan")] * 5), (380, [float("inf")] * 5), (400, []), (420, [1.0, 2.0])]
     df = spark.createDataFrame(rows + rows[:9] + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = defaultdict(list)
     for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
