@@ -180,7 +180,7 @@ def test_domain_and_shard_of_names(spark):
     paths = ["x/train/news-3.jsonl.gz", "train_demo_news-3_7_0000000002.bin", "readme.txt"]
     df = tokens.with_domain(spark.createDataFrame([(p,) for p in paths], "path string"))
     assert {r.path: (r.domain, r.shard) for r in df.collect()} == {
-        paths[0]: ("news", 3), paths[1]: ("train_demo_news", 3), paths[2]: ("", None)
+        paths[0]: ("news", 3), paths[1]: ("train_demo_news", 3), paths[2]: ("readme", None)
     }
 
 
