@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from blendwise.functions.names import dash_prefixes, domain_of, shard_of
 from blendwise.functions.text import BOS, EOS, SPECIALS, framed, words
 from blendwise.session import durable
 
+VOCABULARY_BYTES = 64 << 20  # up to which a vocabulary is sent to the tasks
+
 
 def with_domain(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("domain", domain_of(F.col(path))).withColumn("shard", shard_of(F.col(path)))
@@ -50,17 +56,48 @@ def build_vocab(df: DataFrame, max_size: int, tokens: str = "tokens") -> DataFra
     return marks.unionByName(numbered)
 
 
-def encode_ids(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", unk: int = 0) -> DataFrame:
-    """Replace tokens by ids, unknown ones by ``unk``.
+def encode_ids(
+    df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", unk: int = 0, limit: int = VOCABULARY_BYTES
+) -> DataFrame:
+    """The rows with ``out``, an array<int>, in place of ``tokens``; unknown tokens become ``unk``.
 
-    One way for every size: tokens are joined with the vocabulary, which Catalyst sends to the tasks if it is small,
-    and documents are put together again by position. Rows are stored first, so that their numbers stay fixed.
+    A vocabulary of at most ``limit`` bytes goes to the tasks, and each batch is encoded by one vectorised lookup: rows
+    stay where they are and no token is shuffled. A larger one is joined on the token. NULL arrays stay NULL.
+    """
+    vocab = durable(vocab.select("token", F.col("id").cast("int").alias("id")))
+    size = vocab.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
+    if size > limit:
+        return _encode_by_join(df, vocab, tokens, out, unk)
+    sent = df.sparkSession.sparkContext.broadcast(vocab.toArrow().combine_chunks())
+    others = [c for c in df.columns if c != tokens]
+
+    def run(batches):
+        known = sent.value["token"].combine_chunks()
+        ids = np.append(sent.value["id"].to_numpy(), unk).astype(np.int32)
+        for batch in batches:
+            lists = batch.column(len(others))
+            place = pc.index_in(lists.flatten(), value_set=known, skip_nulls=True)
+            found = pa.array(ids[place.fill_null(len(known)).to_numpy()])
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())).astype(np.int32)
+            encoded = pa.ListArray.from_arrays(pa.array(ends), found, mask=lists.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], encoded], [*others, out])
+
+    fields = [df.schema[c] for c in others] + [StructField(out, ArrayType(IntegerType()))]
+    return df.select(*others, tokens).mapInArrow(run, StructType(fields))
+
+
+def _encode_by_join(df: DataFrame, vocab: DataFrame, tokens: str, out: str, unk: int) -> DataFrame:
+    """The way for a vocabulary of any size. Rows are stored first, so that their numbers stay fixed.
+
+    Each document asks for a token once, whatever its count, which bounds the rows of the commonest word by the number
+    of documents; adaptive execution splits what is left of them.
     """
     keyed = durable(df.withColumn("_row", F.monotonically_increasing_id()))
-    each = keyed.select("_row", F.posexplode(tokens).alias("_pos", "token"))
-    known = each.join(vocab.select("token", F.col("id").cast("int").alias("_id")), "token", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_id", F.lit(unk)).alias("_id"))))
-    ids = known.groupBy("_row").agg(F.transform(pairs, lambda p: p["_id"]).alias(out))
+    asked = keyed.select("_row", F.explode(F.array_distinct(tokens)).alias("token"))
+    known = asked.join(vocab, "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_map"))
+    each = keyed.join(known, "_row", "left").select("_row", "_map", F.posexplode(tokens).alias("_pos", "token"))
+    numbered = each.select("_row", F.struct("_pos", F.coalesce(F.try_element_at("_map", "token"), F.lit(unk)).alias("_id")).alias("_p"))
+    ids = numbered.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["_id"]).alias(out))
     empty = F.array().cast("array<int>")
     restored = keyed.join(ids, "_row", "left").drop("_row")
-    return restored.withColumn(out, F.when(F.size(tokens) == 0, empty).otherwise(F.col(out)))
+    return restored.withColumn(out, F.when(F.size(tokens) == 0, empty).otherwise(F.col(out))).drop(tokens)

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def text_md5(column: str) -> Column:
-    return F.md5(F.array_join(F.col(column), " "))
+    return F.md5(F.array_join(F.col(column).cast("array<string>"), " "))
 
 
 def with_files(spark, folder: str) -> DataFrame:
@@ -123,6 +123,11 @@ def build_vocab(spark, folder):
     return tokens.build_vocab(views.corpus_tokens(spark, folder), VOCABULARY)
 
 
+def encoded(spark, folder, out: str = "tokens") -> DataFrame:
+    docs = views.corpus_tokens(spark, folder)
+    return tokens.encode_ids(docs, tokens.build_vocab(docs, VOCABULARY), out=out)
+
+
 @query(
     "p4_encode_ids",
     with_ctes(
@@ -137,8 +142,7 @@ def build_vocab(spark, folder):
     ),
 )
 def encode_ids(spark, folder):
-    docs = views.corpus_tokens(spark, folder)
-    found = tokens.encode_ids(docs, tokens.build_vocab(docs, VOCABULARY))
+    found = encoded(spark, folder, "ids")
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n"),
@@ -175,12 +179,16 @@ def prior_plan(spark, folder):
     )
 
 
-# Tokens with their place in the file, then in chunks.
+# Token ids with their place in the file, then in chunks.
 PACKED = f"""
+{VOCAB.strip()},
+encoded AS (SELECT domain, shard, doc_id, list(coalesce(id, 0)::INTEGER ORDER BY pos) AS tokens
+            FROM (SELECT domain, shard, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM corpus)
+            LEFT JOIN vocab USING (token) GROUP BY 1, 2, 3),
 placed AS (SELECT domain, shard, doc_id, tokens,
                   coalesce(sum(len(tokens)) OVER (PARTITION BY domain, shard ORDER BY doc_id
                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-           FROM corpus),
+           FROM encoded),
 stream AS (SELECT domain, shard, start + pos - 1 AS spot, token
            FROM (SELECT domain, shard, start, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM placed)),
 pieces AS (SELECT domain, shard, (spot // {CHUNK})::BIGINT AS chunk_no, list(token ORDER BY spot) AS tokens
@@ -192,7 +200,7 @@ blocks AS (SELECT domain, shard, chunk_no, block_no, tokens[block_no * {BLOCK} +
 
 
 def packed(spark, folder, **options) -> DataFrame:
-    return packing.pack_chunks(views.corpus_tokens(spark, folder), CHUNK, bucket=views.doc_bucket(), **options)
+    return packing.pack_chunks(encoded(spark, folder), CHUNK, bucket=views.doc_bucket(), **options)
 
 
 def chunk_report(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -215,13 +223,13 @@ def pack_chunks(spark, folder):
     with_ctes(
         f"""SELECT domain, shard, chunk_no, {CHUNK_REPORT}
             FROM (SELECT domain, shard, chunk_no,
-                         tokens || list_transform(range({CHUNK} - len(tokens)), lambda i: '{BOS}') AS tokens FROM pieces)""",
+                         tokens || list_transform(range({CHUNK} - len(tokens)), lambda i: {SPECIALS.index(BOS)}) AS tokens FROM pieces)""",
         CORPUS,
         PACKED,
     ),
 )
 def pack_chunks_with_tail(spark, folder):
-    return chunk_report(packed(spark, folder, keep_tail=True, pad=BOS), "domain", "shard", "chunk_no")
+    return chunk_report(packed(spark, folder, keep_tail=True, pad=SPECIALS.index(BOS)), "domain", "shard", "chunk_no")
 
 
 @query(

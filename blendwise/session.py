@@ -57,6 +57,13 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows as Parquet in the shared folder: stored by column, so later steps read only what they use."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, stored reliably, so later stages neither recompute nor re-partition them."""
     shared_folder(df.sparkSession)

@@ -241,6 +241,46 @@ def test_packing_equals_brute_force(spark, lengths, bucket):
     assert [r.tokens for r in padded] == [c + ["<s>"] * (5 - len(c)) for c in wanted]
 
 
+@pytest.mark.parametrize("held,bucket", [(1, 1), (1 << 20, 3), (40, 100)])
+def test_packing_ids_of_many_files_equals_brute_force(spark, monkeypatch, held, bucket):
+    monkeypatch.setattr(packing, "TOKENS_HELD", held)
+    docs, files = [], {}
+    for i in range(200):
+        name, shard, n = ("a", None, "b")[i % 3], i % 2, (i * 7) % 23 if i % 11 else 0
+        docs.append((name, shard, i, None if i % 17 == 0 else [1000 * i + j for j in range(n)]))
+        files.setdefault((name, shard), []).append((i, docs[-1][3] or []))
+    df = spark.createDataFrame(docs, "domain string, shard int, doc_id long, tokens array<int>").repartition(5)
+    found = {}
+    for r in packing.pack_chunks(df, 16, keep_tail=True, pad=-1, bucket=F.floor(F.col("doc_id") / bucket)).collect():
+        found[r.domain, r.shard, r.chunk_no] = r.tokens
+    wanted = {}
+    for (name, shard), rows_ in files.items():
+        for number, chunk in enumerate(brute_chunks(rows_, 16)):
+            wanted[name, shard, number] = chunk + [-1] * (16 - len(chunk))
+    assert found == wanted
+    assert packing.pack_chunks(df.limit(0), 16, bucket=F.col("doc_id")).count() == 0
+
+
+def test_tokens_are_shuffled_once(spark):
+    df = spark.createDataFrame([("a", 0, 1, [1, 2, 3])], "domain string, shard int, doc_id long, tokens array<int>")
+    found = packing.pack_chunks(df, 2, bucket=F.col("doc_id"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "strategy=broadcast" in plan
+    moved = {line.split("RepartitionByExpression")[1] for line in plan.splitlines() if "RepartitionByExpression" in line}
+    assert len({m.split("#")[0] for m in moved}) == 1
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_ids_are_the_same_by_lookup_and_by_join(spark, limit):
+    texts = [(i, t) for i, t in enumerate([["b", "a", "a"], [], None, ["c", None, "x"], ["<s>", "b"] * 50, ["y"]])]
+    docs = spark.createDataFrame(texts, "doc_id long, tokens array<string>")
+    vocab = tokens.build_vocab(docs.where("doc_id < 5"), 5)
+    ids = {r.token: r.id for r in vocab.collect()}
+    found = {r.doc_id: r.ids for r in tokens.encode_ids(docs, vocab, limit=limit).collect()}
+    assert found == {i: None if t is None else [ids.get(w, 0) for w in t] for i, t in texts}
+    assert tokens.encode_ids(docs, vocab, limit=limit).columns == ["doc_id", "ids"]
+
+
 def test_chunks_never_mix_files(spark):
     df = spark.createDataFrame(
         [("d", s, s, [str(s)] * 7) for s in range(3)], "domain string, shard int, doc_id long, tokens array<string>"
