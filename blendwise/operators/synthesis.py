@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blendwise.functions.draws import digest, let, log_gamma_draw, uniform
-from blendwise.operators.ordering import id_bucket, number_rows, running_total
+from blendwise.operators.ordering import number_rows
 from blendwise.operators.weights import MAXIMUM_USAGE, TEMPERATURE, normalize_weights, temper, usage_bounds
-from blendwise.session import durable
+from blendwise.session import durable, written
 
 # Fixed values of the method.
 SEED = 42
@@ -27,6 +27,7 @@ STRENGTHS = 15
 SAMPLE_MULTIPLIER = 100
 MINIMUM = 2e-4
 DUPLICATE_DISTANCE = 1e-5
+CLOSE_BUCKET = 1024  # rows that one task compares with each other at most
 # One candidate carries one weight per domain; a larger vector means the domain column is wrong.
 MAX_DOMAINS = 100_000
 
@@ -123,40 +124,100 @@ def dedup_mixtures(samples: DataFrame) -> DataFrame:
     return samples.groupBy("units").agg(first).select("_first.*", "units")
 
 
-def dedup_close(samples: DataFrame, threshold: float = DUPLICATE_DISTANCE) -> DataFrame:
+def _first_far(vectors: np.ndarray, start: int, vector: np.ndarray, threshold: float) -> int:
+    """The first row from ``start`` on that is farther than the threshold, or the number of rows."""
+    for begin in range(start, len(vectors), 64):
+        far = np.abs(vectors[begin : begin + 64] - vector).sum(axis=1) > threshold
+        if far.any():
+            return begin + int(far.argmax())
+    return len(vectors)
+
+
+def _last_kept(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row, the last row of the bucket that is kept if this one is."""
+    last = np.arange(len(vectors))
+    for i in range(len(vectors) - 1, -1, -1):
+        following = _first_far(vectors, i + 1, vectors[i], threshold)
+        if following < len(vectors):
+            last[i] = last[following]
+    return last
+
+
+def _vectors(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.asarray(w) for w in frame["weights"]])
+
+
+def dedup_close(samples: DataFrame, threshold: float = DUPLICATE_DISTANCE, bucket_size: int = CLOSE_BUCKET) -> DataFrame:
     """Near-duplicate removal for weights off the grid.
 
     Rows are ordered by the last domain first; a row goes if its L1 distance to the last kept row is at most
-    ``threshold``. If two neighbours are more than twice the threshold apart, the second is kept whatever
-    happened before, so runs between such gaps are independent and each is scanned by itself, streaming.
+    ``threshold``. The rule is sequential, but a bucket of rows only needs to know the last row kept before it. So
+    each bucket states the rows that can be its last kept one, and for each such row of the bucket before it which row
+    it ends with: a map, and chaining the maps tells which rows really were the last. Maps are chained by doubling,
+    in about log2(buckets) joins of the small table; then all buckets are marked at once. No task holds more than
+    one bucket, however long a chain of near rows is.
     """
     equal = samples.groupBy("weights").agg(F.min("sample_id").alias("sample_id"))
-    ordered = equal.withColumn("_key", F.reverse("weights"))
-    numbered = number_rows(ordered, [], ["_key"], "_place")
-    previous = numbered.select((F.col("_place") + 1).alias("_place"), F.col("weights").alias("_previous"))
-    gap = F.aggregate(
-        F.zip_with("weights", "_previous", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, v: acc + v
-    )
-    opens = (F.col("_previous").isNull() | (gap > 2 * threshold)).cast("long")
-    marked = numbered.join(previous, "_place", "left").withColumn("_opens", opens)
-    runs = running_total(marked, [], ["_place"], F.col("_opens"), "_before", id_bucket(F.col("_place")))
-    runs = runs.withColumn("_run", F.col("_before") + F.col("_opens"))
-    runs = runs.select("_run", "_place", "sample_id", "weights")
-    runs = runs.repartition("_run").sortWithinPartitions("_run", "_place")
-
-    def scan(batches):
-        run, kept = None, None
-        for frame in batches:
-            flags = []
-            for key, weights in zip(frame["_run"], frame["weights"]):
-                vector = np.asarray(weights)
-                keep = key != run or np.abs(vector - kept).sum() > threshold
-                if keep:
-                    run, kept = key, vector
-                flags.append(keep)
-            yield pd.DataFrame({"sample_id": frame["sample_id"], "weights": frame["weights"]})[np.array(flags, dtype=bool)]
-
-    return runs.mapInPandas(scan, "sample_id long, weights array<double>")
+    numbered = number_rows(equal.withColumn("_key", F.reverse("weights")), [], ["_key"], "_place")
+    bucket = F.floor(F.col("_place") / bucket_size).alias("_bucket")
+    rows = written(numbered.select(bucket, "_place", "sample_id", "weights"), "ordered")
+    node = "_bucket long, _place long, weights array<double>"
+
+    def ends(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_place", ignore_index=True)
+        last = _last_kept(_vectors(frame), threshold)
+        # The very first row is kept, so the first bucket has one end only.
+        found = [last[0]] if frame["_bucket"][0] == 0 else np.unique(last)
+        return frame.loc[found, ["_bucket", "_place", "weights"]]
+
+    def moves(key, frame: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(frame):
+            frame = frame.sort_values("_place", ignore_index=True)
+            vectors = _vectors(frame)
+            last = _last_kept(vectors, threshold)
+            for place, weights in zip(entries["_place"], entries["weights"]):
+                first = _first_far(vectors, 0, np.asarray(weights), threshold)
+                passed = first == len(vectors)
+                end = place if passed else frame["_place"][last[first]]
+                out.append((key[0] - 1, place, key[0], end, weights if passed else None))
+        return pd.DataFrame(out, columns=["b", "p", "nb", "np", "weights"])
+
+    def entering(nodes: DataFrame) -> DataFrame:
+        return nodes.select((F.col("_bucket") + 1).alias("_bucket"), "_place", "weights").groupBy("_bucket")
+
+    by_bucket = rows.groupBy("_bucket")
+    known = nodes = durable(by_bucket.applyInPandas(ends, node))
+    steps = None
+    while True:  # again only for rows to which a whole bucket is near
+        cogrouped = by_bucket.cogroup(entering(nodes))
+        found = durable(cogrouped.applyInPandas(moves, "b long, p long, nb long, np long, weights array<double>"))
+        steps = found.drop("weights") if steps is None else steps.unionByName(found.drop("weights"))
+        nodes = durable(found.where("weights IS NOT NULL").select(F.col("nb").alias("_bucket"), F.col("np").alias("_place"), "weights").distinct())
+        if nodes.isEmpty():
+            break
+        known = known.unionByName(nodes)
+    jumps = durable(steps.distinct())
+    reached = known.where("_bucket = 0").select(F.col("_bucket").alias("b"), F.col("_place").alias("p"))
+    while not jumps.isEmpty():
+        farther = reached.join(jumps, ["b", "p"]).select(F.col("nb").alias("b"), F.col("np").alias("p"))
+        reached = durable(reached.union(farther))
+        onward = jumps.select(F.col("b").alias("nb"), F.col("p").alias("np"), F.col("nb").alias("eb"), F.col("np").alias("ep"))
+        jumps = durable(jumps.join(onward, ["nb", "np"]).select("b", "p", F.col("eb").alias("nb"), F.col("ep").alias("np")))
+
+    def mark(key, frame: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_place", ignore_index=True)
+        kept = []
+        if len(frame):
+            vectors = _vectors(frame)
+            i = _first_far(vectors, 0, np.asarray(entries["weights"][0]), threshold) if len(entries) else 0
+            while i < len(vectors):
+                kept.append(i)
+                i = _first_far(vectors, i + 1, vectors[i], threshold)
+        return frame.loc[kept, ["sample_id", "weights"]]
+
+    real = known.distinct().join(reached.select(F.col("b").alias("_bucket"), F.col("p").alias("_place")), ["_bucket", "_place"])
+    return by_bucket.cogroup(entering(real)).applyInPandas(mark, "sample_id long, weights array<double>")
 
 
 def choose_configs(samples: DataFrame, num: int, seed: int = SEED) -> DataFrame:

@@ -98,16 +98,24 @@ def brute_close(vectors, threshold):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("threshold", [1e-5, 0.02, 0.1])
-def test_dedup_close_is_the_sequential_rule(spark, threshold):
+@pytest.mark.parametrize("threshold,bucket_size", [(1e-5, 1024), (0.02, 7), (0.1, 30)])
+def test_dedup_close_is_the_sequential_rule(spark, threshold, bucket_size):
     chance = random.Random(3)
     vectors = [(0.2, 0.8), (0.200004, 0.799996), (0.200008, 0.799992), (0.200012, 0.799988)]
     vectors += [(round(x, 3), round(1 - x, 3)) for x in {chance.random() for _ in range(120)}]
     vectors = list(dict.fromkeys(vectors))
-    found = synthesis.dedup_close(samples(spark, *vectors).repartition(3), threshold)
+    found = synthesis.dedup_close(samples(spark, *vectors).repartition(3), threshold, bucket_size)
     assert [r[0] for r in rows(found, "sample_id")] == brute_close(vectors, threshold)
 
 
+def test_dedup_close_follows_one_chain_across_many_buckets(spark):
+    steps = [round(0.1 + 0.003 * i, 4) for i in range(60)] + [0.9, 0.9001, 0.9002, 0.9003, 0.9004, 0.99]
+    vectors = [(x, round(1 - x, 4)) for x in steps]
+    found = synthesis.dedup_close(samples(spark, *vectors), 0.011, 2)
+    assert [r[0] for r in rows(found, "sample_id")] == brute_close(vectors, 0.011)
+    assert synthesis.dedup_close(samples(spark, *vectors).limit(0), 0.011).count() == 0
+
+
 def test_too_few_mixtures_are_an_error(spark):
     with pytest.raises(ValueError, match="3 mixtures wanted, found 2"):
         synthesis.choose_configs(samples(spark, (1,), (2,)), 3).select("sample_id").collect()
