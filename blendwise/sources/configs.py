@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blendwise.functions.names import format_weight
-from blendwise.sources.files import rename_parts
+from blendwise.sources.named_files import write_named_files
 
 ENTRIES = "index long, split string, domain string, value string, params map<string,string>"
 
@@ -63,10 +61,9 @@ def render_configs(weights: DataFrame, params: dict | None = None, precision: in
 
 
 def write_mixture_configs(weights: DataFrame, folder: str, params: dict | None = None, precision: int = 5) -> None:
-    """Write ``n<index>.yaml`` for every config; an existing file of that name is an error."""
-    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
-    spark = weights.sparkSession
+    """Write ``n<index>.yaml`` for every config; an existing file of that name with other content is an error."""
     # Many tiny files: the number of files counts, not their size, so all cores write.
-    spread = render_configs(weights, params, precision).repartition(spark.sparkContext.defaultParallelism, "index")
-    spread.write.partitionBy("index").text(staged)
-    rename_parts(spark, staged, folder, lambda index, part: f"n{index}.yaml")
+    cores = weights.sparkSession.sparkContext.defaultParallelism
+    spread = render_configs(weights, params, precision).repartition(cores, "index")
+    named = F.concat(F.lit("n"), F.col("index").cast("string"), F.lit(".yaml"))
+    write_named_files(spread.select(named.alias("name"), F.concat("value", F.lit("\n")).alias("value")), folder)

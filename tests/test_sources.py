@@ -40,6 +40,20 @@ def test_configs_are_single_files(spark, tmp_path):
     )
 
 
+def test_config_sink_is_all_or_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(i, "a", 1.0) for i in range(40)], "index long, domain string, weight double")
+    wrong = tmp_path / "n7.yaml"
+    wrong.write_text("other")
+    with pytest.raises(Exception, match="exists already"):
+        configs.write_mixture_configs(df, str(tmp_path))
+    assert os.listdir(tmp_path) == ["n7.yaml"] and wrong.read_text() == "other"
+    wrong.unlink()
+    for _ in range(2):  # the second time it meets its own files, like a task that runs again
+        configs.write_mixture_configs(df, f"file:{tmp_path}")
+        assert sorted(os.listdir(tmp_path)) == sorted(f"n{i}.yaml" for i in range(40))
+    assert configs.read_mixture_configs(spark, str(tmp_path)).select("index").distinct().count() == 40
+
+
 def write_corpus(root, files):
     os.makedirs(f"{root}/train")
     for name, texts in files.items():
