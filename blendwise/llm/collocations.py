@@ -108,26 +108,28 @@ def count_words(chunks: DataFrame) -> DataFrame:
     return _summed(_placed_words(chunks).select("lang", F.col("first").alias("phrase"), "n"))
 
 
-def _place(lang: Column | str, phrase: Column | str) -> Column:
-    return F.crc32(F.concat_ws("\n", lang, phrase).cast("binary")).bitwiseAND(F.lit(BITS - 1))
+def _key(*words: Column | str) -> Column:
+    """A 64-bit hash of a language and some words."""
+    return F.xxhash64("lang", *words)
 
 
-def bit_table(phrases: DataFrame) -> Column:
-    """A scalar: ``BITS`` bits as an array of longs, set where a phrase's checksum falls.
+def bit_table(keys: DataFrame) -> Column:
+    """A scalar: ``BITS`` bits as an array of longs, set where a ``key`` falls.
 
     At most ``BITS / 64`` numbers pass the driver.
     """
+    place = F.col("key").bitwiseAND(F.lit(BITS - 1)).alias("place")
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    masks = phrases.select(_place("lang", "phrase").alias("place")).groupBy(F.shiftright("place", 6).alias("at"))
+    masks = keys.select(place).groupBy(F.shiftright("place", 6).alias("at"))
     rows = masks.agg(F.bit_or(bit).alias("mask")).toArrow()
     table = np.zeros(BITS // 64, np.int64)
     table[rows["at"].to_numpy()] = rows["mask"].to_numpy()
     lists = pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), pa.array(table))
-    return phrases.sparkSession.createDataFrame(pa.table({"bits": lists})).scalar()
+    return keys.sparkSession.createDataFrame(pa.table({"bits": lists})).scalar()
 
 
-def _known(bits: Column, phrase: Column) -> Column:
-    place = _place("lang", phrase)
+def _known(bits: Column, key: Column) -> Column:
+    place = key.bitwiseAND(F.lit(BITS - 1))
     word = F.get(bits, F.shiftright(place, 6).cast("int"))
     return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
@@ -137,19 +139,27 @@ def _has(offset: int) -> Column:
     return F.coalesce(F.col("i") + offset < F.size("words"), F.lit(False))
 
 
-def count_pairs(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of pairs of frequent words."""
-    bits = bit_table(words)
+def count_pairs(chunks: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, f) of pairs of frequent words that are found at least ``least`` times.
+
+    Most pairs are rare. They are counted by their hashes alone first, which move a fraction of the bytes and never
+    count too low; only pairs whose hash is frequent are counted as they are written.
+    """
+    bits = bit_table(words.select(_key("phrase").alias("key")))
     second = F.get("words", F.col("i") + 1)
-    rows = _placed_words(chunks).where(_has(1) & _known(bits, F.col("first")) & _known(bits, second))
-    return _summed(rows.select("lang", F.concat_ws(" ", "first", second).alias("phrase"), "n"))
+    rows = _placed_words(chunks).where(_has(1) & _known(bits, _key("first")) & _known(bits, _key(second)))
+    hashed = rows.groupBy(_key("first", second).alias("key")).agg(F.sum("n").alias("f"))
+    often = bit_table(hashed.where(F.col("f") >= least))
+    rows = rows.where(_known(often, _key("first", second)))
+    return _summed(rows.select("lang", F.concat_ws(" ", "first", second).alias("phrase"), "n")).where(F.col("f") >= least)
 
 
 def count_longer(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     """(lang, phrase, f) of phrases of 3 to ``LONGEST`` words all of whose pairs are frequent."""
-    bits = bit_table(pairs)
+    two = F.split("phrase", " ")
+    bits = bit_table(pairs.select(_key(two[0], two[1]).alias("key")))
     word = lambda j: F.get("words", F.col("i") + j)
-    pair = lambda j: _has(j + 1) & _known(bits, F.concat_ws(" ", word(j), word(j + 1)))
+    pair = lambda j: _has(j + 1) & _known(bits, _key(word(j), word(j + 1)))
     phrase = lambda size: F.concat_ws(" ", *[word(j) for j in range(size)])
     rows = _placed_words(chunks).where(pair(0) & pair(1))
     sizes = range(4, LONGEST + 1)
@@ -165,7 +175,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text"
     words = stored(count_words(chunks), "words")
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     known = words.where(F.col("f") >= least)
-    pairs = stored(count_pairs(chunks, known).where(F.col("f") >= least), "pairs")
+    pairs = stored(count_pairs(chunks, known, least), "pairs")
     longer = count_longer(chunks, pairs).where(F.col("f") >= least)
     every = known.unionByName(pairs).unionByName(longer)
     phrases = stored(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), "phrases")
