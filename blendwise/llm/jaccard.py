@@ -7,9 +7,12 @@ two sets that reach the threshold t share at least c of their first ``n - ceil(t
 * heavy sets scan the inverted lists of their prefix, in which light sets of nearly their size stand too.
 
 Enumeration costs grow with the square of the prefix, lists with the frequency of the shingles; the boundary is the
-size with the least total. In each bucket pivots are compared with all members, the most central first. A bucket
-is closed once its members are connected, since more links would change no component; pairs left open after some
-pivots are compared one by one. Copies cost one comparison each instead of one per pair, and no link is lost.
+size with the least total. The most central member of each bucket is its pivot and is compared with the others. The
+classes that met a pivot in any bucket are its cell, and pairs left open lie within cells. Only classes outside the
+component of the pivot are paired there, unless a bound excludes the pair: two sets share at most the smaller
+overlap with the pivot, and outside it only what others hold too. In crowded cells the shingles are counted anew, and
+partners must meet in the lists of their few rarest ones; each pair is taken in its first common list. Copies cost
+one comparison each instead of one per pair, and no link between components is lost.
 
 The order puts rare shingles first, but counting all shingles would move several times the text. Prefixes are
 short, so the order begins with a fixed ``PART`` of the hash space, by frequency; frequencies there are exact and
@@ -25,16 +28,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blendwise.llm.common import connected_components, let, map_rows, stored
+from blendwise.llm.common import connected_components, forget, let, map_rows, stored
 from blendwise.session import durable
 
 SHINGLE = 5
 PERCENT = 80
-PIVOTS = 1
-CROWD = 64  # members of a bucket from which a better bound is worth counting
+CROWD = 64  # members of a cell from which exact counts are worth their making
 SUBSET_COST = 3  # of making one subset, against reading one list entry
 PART = 0.3
 FREQUENT = 256
@@ -244,11 +246,11 @@ def size_boundary(sets: DataFrame, percent: int) -> int:
 
 
 def buckets(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(bucket, class_id, n, m, heavy, rank): who meets where; at least one of a list's pair must be heavy.
+    """(bucket, class_id, own, rare): who meets where.
 
     Each bucket is kept per size band, a set stands in its own band and the one below, so that all sets that can
-    link meet and those of very different size do not. ``rank`` puts central members first: few own shingles,
-    then frequent ones.
+    link meet and those of very different size do not. ``own`` and ``rare`` put central members first: few own
+    shingles, then frequent ones.
     """
     light = F.col("n") <= boundary
     f = F.col("front")
@@ -272,84 +274,126 @@ def buckets(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     # A few wide rows make many: spread them over all tasks first.
     rows = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class_id").select(
         "class_id",
-        "n",
-        "m",
-        (~light).alias("heavy"),
-        F.struct((F.col("own") / F.greatest("na", F.lit(1))).alias("own"), (-frequent).alias("rare"), "class_id").alias("rank"),
+        (F.col("own") / F.greatest("na", F.lit(1))).alias("own"),
+        (-frequent).alias("rare"),
         F.explode(F.array_distinct(keys)).alias("key"),
         band.alias("band"),
     )
     rows = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    return rows.select(F.xxhash64("key", "band").alias("bucket"), "class_id", "n", "m", "heavy", "rank")
+    return rows.select(F.xxhash64("key", "band").alias("bucket"), "class_id", "own", "rare")
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """(pivot, class_id): each class with the pivots, the most central members, of all its buckets.
+
+    Every pair of a bucket is a pair with its pivot, or two members of that pivot's cell. Pivots are found by an
+    aggregate that combines before the shuffle, and a cell holds a class once, in however many buckets they meet.
+    """
+    first = members.groupBy("bucket").agg(
+        F.min(F.struct("own", "rare", "class_id")).alias("first"), F.count(F.lit(1)).alias("k")
+    )
+    first = first.where("k > 1").select("bucket", F.col("first.class_id").alias("pivot"))
+    return members.join(first, "bucket").where("class_id != pivot").select("pivot", "class_id").distinct()
+
+
+def _reaches(c: Column, n: Column, other: Column, percent: int) -> Column:
+    """Whether sets of n and other shingles link if they share c."""
+    return c * 100 >= percent * (n + other - c)
 
 
 def _possible(percent: int) -> Column:
-    """Bounds from the sizes and from the shingles that nobody else has."""
-    best = F.least("m", "m_b")
-    return best * 100 >= percent * (F.col("n") + F.col("n_b") - best)
+    """Bounds from the sizes, from the shingles that others share, and from what both share with one pivot.
+
+    Two sets share at most the smaller overlap with the pivot, and outside the pivot what others have there too.
+    """
+    known = F.least("c", "c_b") + F.least(F.col("m") - F.col("c"), F.col("m_b") - F.col("c_b"))
+    # least() skips NULLs, so a pair without both overlaps must be told apart.
+    best = F.when(F.col("c").isNull() | F.col("c_b").isNull(), F.least("m", "m_b")).otherwise(known)
+    return _reaches(best, F.col("n"), F.col("n_b"), percent)
 
 
-def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
+def overlaps(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(a, b, c, linked): the shared shingles of whole sets, for distinct pairs (a, b) of classes."""
     left = whole.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = whole.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b").distinct()
+    return both.select("a", "b", "c", _reaches(F.col("c"), F.col("na"), F.col("nb"), percent).alias("linked")).distinct()
 
 
-def tighter(members: DataFrame, whole: DataFrame) -> DataFrame:
-    """The members with a better bound ``m`` where they stand in a crowded bucket.
+def _crowd_lists(crowd: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(class_id, m, s, before) of the classes of crowded cells: the lists in which partners must meet.
 
-    All pairs left lie within one bucket, so a shingle that no other class of these buckets has cannot be shared.
-    Counting them is worth it only where one bucket holds many members: copies that differ too much from all
-    others would be compared with each of them.
+    ``m`` counts the shingles that others of these classes have; the rest cannot be shared here. A partner has at
+    least o = ceil(percent n / 100) of them, so the first common one, rarest first, is among the first m - o + 1 of
+    either set. ``before`` has those ahead of s: a pair is taken in its first common list alone.
     """
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("bucket")
-    crowd = members.join(size, "bucket", "left_semi").select("class_id").distinct()
-    # Partners in smaller buckets count too, or their shingles would seem to be nobody's.
-    circle = members.join(members.join(crowd, "class_id", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-    sets = whole.join(circle.select("class_id").distinct(), "class_id", "left_semi").dropDuplicates(["class_id"])
-    each = stored(sets.select("class_id", F.explode("shingles").alias("s")), "crowd")
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("s")
-    shared = each.join(common, "s").join(crowd, "class_id", "left_semi")
-    shared = shared.groupBy("class_id").agg(F.count(F.lit(1)).alias("shared"))
-    bound = crowd.join(shared, "class_id", "left").select("class_id", F.coalesce("shared", F.lit(0)).alias("shared"))
-    return members.join(bound, "class_id", "left").withColumn("m", F.least("m", F.coalesce("shared", "m"))).drop("shared")
-
-
-def link_classes(
-    sets: DataFrame, whole: DataFrame, percent: int, boundary: int | None = None, pivots: int = PIVOTS
-) -> DataFrame:
-    """(class_id, root) of the classes that stand in buckets; classes of one component share a root."""
+    circle = crowd.select("class_id").union(crowd.select("pivot")).distinct()
+    sets = whole.join(circle, "class_id", "left_semi").dropDuplicates(["class_id"])
+    each = stored(sets.select("class_id", "n", F.explode("shingles").alias("s")), "crowd")
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    held = each.join(common, "s").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("held"))
+    m = F.size("held").cast("long")
+    front = held.select("class_id", m.alias("m"), "held", (m - F.ceil(F.col("n") * percent / 100) + 1).cast("int").alias("p"))
+    front = front.where("p > 0").select("class_id", "m", F.transform(_first(F.col("held"), F.col("p")), lambda e: e["s"]).alias("s"))
+    rows = front.select("class_id", "m", F.col("s").alias("front"), F.posexplode("s").alias("i", "s"))
+    return rows.select("class_id", "m", "s", F.slice("front", F.lit(1), F.col("i")).alias("before"))
+
+
+def open_pairs(placed: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that may link, of classes in one cell but in different components.
+
+    ``placed``: (pivot, class_id, n, m, c, root, home); home is the component of the pivot. Only classes outside it
+    are paired, with all others. Small cells are paired as they stand, crowded ones by lists with exact counts.
+    """
+    size = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"))
+    size = size.where("lo < hi").select("pivot", "k")
+    opened = stored(placed.join(size, "pivot"), "open")
+    small, crowd = opened.where(F.col("k") <= CROWD), opened.where(F.col("k") > CROWD)
+    lists = stored(_crowd_lists(crowd, whole, percent), "lists")
+    crowd = crowd.drop("m").join(lists, "class_id")
+
+    def paired(rows: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+        names = ["class_id", "n", "m", "c", "root", *more]
+        other = rows.select(*keys, *[F.col(x).alias(f"{x}_b") for x in names])
+        new = ~F.arrays_overlap("before", "before_b") if more else F.lit(True)
+        found = rows.where("root != home").join(other, keys).where((F.col("root") != F.col("root_b")) & _possible(percent) & new)
+        ends = [F.least("class_id", "class_id_b").alias("a"), F.greatest("class_id", "class_id_b").alias("b")]
+        return found.select(*ends)
+
+    return paired(small, ["pivot"], []).union(paired(crowd, ["pivot", "s"], ["before"])).distinct()
+
+
+def link_classes(sets: DataFrame, whole: DataFrame, percent: int, boundary: int | None = None) -> DataFrame:
+    """(class_id, root) of the classes that link with any; classes of one component share a root."""
     if boundary is None:
         boundary = size_boundary(sets, percent)
-    members = buckets(sets, boundary, percent)
-    bucket = Window.partitionBy("bucket").orderBy("rank")
-    size = F.count(F.lit(1)).over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    members = members.withColumn("k", size).withColumn("place", F.row_number().over(bucket) - 1)
-    members = durable(members.where("k > 1").drop("rank", "k"))
-    roots = members.select("class_id").distinct().withColumn("root", F.col("class_id"))
-    other = [F.col(c).alias(f"{c}_b") for c in ("class_id", "n", "m", "heavy", "root", "place")]
-    for turn in range(pivots + 1):
-        rest = members.where(F.col("place") >= turn).join(roots, "class_id")
-        open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        rest = durable(rest.join(open_.where("lo < hi").select("bucket"), "bucket"))
-        if turn == pivots:
-            rest = durable(tighter(rest, whole))
-        first = rest.where(F.col("place") == turn) if turn < pivots else rest
-        pairs = first.join(rest.select("bucket", *other), "bucket").where(
-            (F.col("place") < F.col("place_b")) & (F.col("root") != F.col("root_b")) & _possible(percent)
-            & ((F.col("n") <= boundary) & (F.col("n_b") <= boundary) | F.col("heavy") | F.col("heavy_b"))
-        )
-        pairs = pairs.select(F.least("class_id", "class_id_b").alias("a"), F.greatest("class_id", "class_id_b").alias("b"))
-        # What is linked already stands for its component, so later turns join ever fewer nodes.
-        ends = [roots.select(F.col("class_id").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")]
-        links = verify(pairs, whole, percent).join(ends[0], "a").join(ends[1], "b")
-        joined = connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
-        roots = durable(roots.join(joined, "root", "left").select("class_id", F.coalesce("new", "root").alias("root")))
-    return roots
+    members = stored(buckets(sets, boundary, percent), "buckets")
+    met = stored(cells(members), "cells")
+    forget(members)
+    sizes = sets.select("class_id", "n", "m")
+    none = F.lit(None).cast("long")
+    other = sizes.select(F.col("class_id").alias("pivot"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), none.alias("c_b"))
+    star = met.join(sizes.withColumn("c", none), "class_id").join(other, "pivot").where(_possible(percent))
+    star = stored(overlaps(star.select(F.col("pivot").alias("a"), F.col("class_id").alias("b")), whole, percent), "star")
+    roots = stored(connected_components(star.where("linked").select("a", "b")), "roots")
+    shared = star.select(F.col("a").alias("pivot"), F.col("b").alias("class_id"), "c")
+    root = roots.select(F.col("node").alias("class_id"), "root")
+    home = roots.select(F.col("node").alias("pivot"), F.col("root").alias("home"))
+    placed = met.join(sizes, "class_id").join(shared, ["pivot", "class_id"], "left")
+    placed = placed.join(root, "class_id", "left").join(home, "pivot", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "class_id")).withColumn("home", F.coalesce("home", "pivot"))
+    late = stored(overlaps(open_pairs(placed, whole, percent), whole, percent).where("linked"), "late")
+    # What is linked already stands for its component, so the second search has few nodes.
+    ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
+    late = late.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    late = late.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = stored(connected_components(late), "joined").select("node", F.col("root").alias("new"))
+    known = roots.select(F.col("node").alias("class_id"), F.col("root").alias("node"))
+    known = known.join(joined, "node", "left").select("class_id", F.coalesce("new", "node").alias("root"))
+    alone = joined.select(F.col("node").alias("class_id"), F.col("new").alias("root"))
+    alone = alone.join(roots.select(F.col("node").alias("class_id")), "class_id", "left_anti")
+    return stored(known.union(alone), "classes-linked")
 
 
 def near_duplicates(

@@ -179,6 +179,31 @@ def test_one_document_of_each_component_stays(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_one_large_group_of_near_copies(spark, crowd, monkeypatch):
+    """Copies of one text with few to many edits: crowded cells lose no link, and pairs do not grow with its square."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i, edits in enumerate(rng.integers(1, 9, 150)):
+        copy = base[:]
+        for at in rng.integers(0, len(base), edits):
+            copy[at] = f"x{i}-{at}" if i % 3 else f"y{i % 7}-{at}"
+        texts.append(" ".join(copy))
+    compared = []
+    overlaps = jaccard.overlaps
+
+    def counted(pairs, whole, percent):
+        compared.append(pairs.count())
+        return overlaps(pairs, whole, percent)
+
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "overlaps", counted)
+    got = jaccard.near_duplicates(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+    assert sum(compared) < len(texts) ** 2 / 4
+
+
 def test_documents_without_id_are_deduplicated_too(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "d e f"), (1, "d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in jaccard.drop_near_duplicates(docs).collect() if r.doc_id) == [(1, "d e f")]
