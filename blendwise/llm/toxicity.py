@@ -8,7 +8,9 @@ each that the network finds worst, and learns from it.
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -351,12 +353,19 @@ def train(learn: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> N
     )
     chosen = F.broadcast(marks.where(in_sample(F.col("doc_id"), share)))  # about 2 · per_label ids
     sample = learn.where(F.length("text") <= TRAIN_CHARACTERS).join(chosen, "doc_id")
-    rows = sample.select(F.xxhash64("doc_id").alias("h"), "text", "y").dropDuplicates(["h"]).collect()  # bounded
-    rows = sorted(rows, key=lambda r: (r.h, r.text))
-    y = np.array([r.y for r in rows], np.int64)
-    if len(set(y[np.arange(len(y)) % 5 != 4])) < 2:
-        return counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([r.text for r in rows], y)
+    rows = sample.groupBy(F.xxhash64("doc_id").alias("h")).agg(F.min(F.struct("text", "y")).alias("row"))
+    rows = rows.select("h", "row.text", "row.y").repartition(1)  # bounded
+    fitted = rows.mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task fits on the sample, so that the driver holds the weights alone; nothing without both labels."""
+    rows = sorted(row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+    y = np.array([label for _, _, label in rows], np.int64)
+    if len(set(y[np.arange(len(y)) % 5 != 4])) == 2:
+        network = fit([text for _, text, _ in rows], y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["model"])
 
 
 def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
