@@ -9,8 +9,8 @@ two sets that reach the threshold t share at least c of their first ``n - ceil(t
 Enumeration costs grow with the square of the prefix, lists with the frequency of the shingles; the boundary is the
 size with the least total. The most central member of each bucket is its pivot and is compared with the others. The
 classes that met a pivot in any bucket are its cell, and pairs left open lie within cells. Only classes outside the
-component of the pivot are paired there, unless a bound excludes the pair: two sets share at most the smaller
-overlap with the pivot, and outside it only what others hold too. In crowded cells the shingles are counted anew, and
+component of the pivot are paired there, unless a bound excludes the pair: two sets share nothing of the pivot that
+either lacks, and outside it only what others hold too. In crowded cells the shingles are counted anew, and
 partners must meet in the lists of their few rarest ones; each pair is taken in its first common list. Copies cost
 one comparison each instead of one per pair, and no link between components is lost.
 
@@ -301,24 +301,44 @@ def _reaches(c: Column, n: Column, other: Column, percent: int) -> Column:
     return c * 100 >= percent * (n + other - c)
 
 
-def _possible(percent: int) -> Column:
-    """Bounds from the sizes, from the shingles that others share, and from what both share with one pivot.
+GAPS = 2  # words of 64 bits for the shingles of a pivot that a set lacks
 
-    Two sets share at most the smaller overlap with the pivot, and outside the pivot what others have there too.
+
+def _most_shared(a: Column, b: Column) -> Column:
+    """An upper bound of the shingles that two sets share; each side has its ``m`` and how it met one pivot.
+
+    Inside the pivot they share at most the smaller overlap, and nothing that either lacks; lacking ones are bits of
+    ``gaps``, of which some may coincide but none is made up. Outside, they share what others have there too.
     """
-    known = F.least("c", "c_b") + F.least(F.col("m") - F.col("c"), F.col("m_b") - F.col("c_b"))
-    # least() skips NULLs, so a pair without both overlaps must be told apart.
-    best = F.when(F.col("c").isNull() | F.col("c_b").isNull(), F.least("m", "m_b")).otherwise(known)
-    return _reaches(best, F.col("n"), F.col("n_b"), percent)
+    lacking = sum((F.bit_count(a["gaps"][i].bitwiseOR(b["gaps"][i])) for i in range(GAPS)), F.lit(0))
+    inside = F.least(a["c"], b["c"], a["size"] - lacking)
+    outside = F.least(a["m"] - a["c"], b["m"] - b["c"])
+    # least() skips NULLs, so a side that was not compared with the pivot must be told apart.
+    return F.when(a["c"].isNull() | b["c"].isNull(), F.least(a["m"], b["m"])).otherwise(inside + outside)
+
+
+def _may_link(c: Column, percent: int) -> Column:
+    return _reaches(c, F.col("n"), F.col("n_b"), percent)
 
 
 def overlaps(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(a, b, c, linked): the shared shingles of whole sets, for distinct pairs (a, b) of classes."""
+    """(a, b, met, linked) for distinct pairs (a, b) of classes, decided on whole sets.
+
+    ``met``: c, the number of shared shingles, size, that of a, and gaps, the shingles of a that b lacks as bits.
+    """
     left = whole.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = whole.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.select("a", "b", "c", _reaches(F.col("c"), F.col("na"), F.col("nb"), percent).alias("linked")).distinct()
+    both = both.withColumn("gap", F.array_except("sa", "sb"))
+
+    def bits(word: int) -> Column:
+        mine = F.filter("gap", lambda x: F.pmod(x, F.lit(GAPS)) == word)
+        place = lambda x: F.pmod(F.floor(x / 1024.0).cast("long"), F.lit(64)).cast("int")
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(x))))
+
+    met = F.struct("c", F.col("na").alias("size"), F.array(*[bits(i) for i in range(GAPS)]).alias("gaps"))
+    return both.select("a", "b", met.alias("met"), _reaches(F.col("c"), F.col("na"), F.col("nb"), percent).alias("linked")).distinct()
 
 
 def _crowd_lists(crowd: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -343,25 +363,47 @@ def _crowd_lists(crowd: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 def open_pairs(placed: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that may link, of classes in one cell but in different components.
 
-    ``placed``: (pivot, class_id, n, m, c, root, home); home is the component of the pivot. Only classes outside it
-    are paired, with all others. Small cells are paired as they stand, crowded ones by lists with exact counts.
+    ``placed``: (pivot, class_id, n, m, met, root, home); home is the component of the pivot. Only classes outside it
+    are paired, with all others. Small cells are paired as they stand. Classes of crowded ones meet in lists made
+    with exact counts, each pair once, and are held against the first pivot that both have met.
     """
     size = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"))
     size = size.where("lo < hi").select("pivot", "k")
     opened = stored(placed.join(size, "pivot"), "open")
     small, crowd = opened.where(F.col("k") <= CROWD), opened.where(F.col("k") > CROWD)
-    lists = stored(_crowd_lists(crowd, whole, percent), "lists")
-    crowd = crowd.drop("m").join(lists, "class_id")
+    ends = [F.least("class_id", "class_id_b").alias("a"), F.greatest("class_id", "class_id_b").alias("b")]
+    differ = F.col("root") != F.col("root_b")
+
+    def other(rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(key, *[F.col(x).alias(f"{x}_b") for x in rows.columns if x != key])
 
-    def paired(rows: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
-        names = ["class_id", "n", "m", "c", "root", *more]
-        other = rows.select(*keys, *[F.col(x).alias(f"{x}_b") for x in names])
-        new = ~F.arrays_overlap("before", "before_b") if more else F.lit(True)
-        found = rows.where("root != home").join(other, keys).where((F.col("root") != F.col("root_b")) & _possible(percent) & new)
-        ends = [F.least("class_id", "class_id_b").alias("a"), F.greatest("class_id", "class_id_b").alias("b")]
-        return found.select(*ends)
+    side = F.struct("m", "met.c", "met.size", "met.gaps").alias("side")
+    rows = small.select("pivot", "class_id", "n", "root", "home", side)
+    bound = _may_link(_most_shared(F.col("side"), F.col("side_b")), percent)
+    pairs = rows.where("root != home").join(other(rows, "pivot"), "pivot").where(differ & bound).select(*ends)
 
-    return paired(small, ["pivot"], []).union(paired(crowd, ["pivot", "s"], ["before"])).distinct()
+    lists = stored(_crowd_lists(crowd, whole, percent), "lists")
+    hub = F.struct(F.col("met.c").isNull().alias("blind"), (-F.col("k")).alias("rank"), "pivot", "met.c", "met.size", "met.gaps")
+    hubs = crowd.groupBy("class_id", "n", "root").agg(
+        F.array_sort(F.collect_list(hub)).alias("hubs"), F.max(F.col("root") != F.col("home")).alias("out")
+    )
+    rows = stored(lists.join(hubs.withColumn("ids", F.col("hubs.pivot")), "class_id"), "crowded")
+
+    def held_against(pivot: Column) -> Column:
+        of = lambda name, m: F.transform(
+            F.filter(name, lambda h: h["pivot"] == pivot),
+            lambda h: F.struct(F.col(m).alias("m"), h["c"].alias("c"), h["size"].alias("size"), h["gaps"].alias("gaps")),
+        )
+        fits = F.zip_with(of("hubs", "m"), of("hubs_b", "m_b"), lambda a, b: _may_link(_most_shared(a, b), percent))
+        return F.exists(fits, lambda fit: fit)
+
+    fits = (
+        differ
+        & _may_link(F.least("m", "m_b"), percent)
+        & ~F.arrays_overlap("before", "before_b")
+        & F.exists(F.slice(F.array_intersect("ids", "ids_b"), 1, 1), held_against)
+    )
+    return pairs.union(rows.where("out").join(other(rows, "s"), "s").where(fits).select(*ends)).distinct()
 
 
 def link_classes(sets: DataFrame, whole: DataFrame, percent: int, boundary: int | None = None) -> DataFrame:
@@ -372,18 +414,17 @@ def link_classes(sets: DataFrame, whole: DataFrame, percent: int, boundary: int
     met = stored(cells(members), "cells")
     forget(members)
     sizes = sets.select("class_id", "n", "m")
-    none = F.lit(None).cast("long")
-    other = sizes.select(F.col("class_id").alias("pivot"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), none.alias("c_b"))
-    star = met.join(sizes.withColumn("c", none), "class_id").join(other, "pivot").where(_possible(percent))
+    pivots = sizes.select(F.col("class_id").alias("pivot"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
+    star = met.join(sizes, "class_id").join(pivots, "pivot").where(_may_link(F.least("m", "m_b"), percent))
     star = stored(overlaps(star.select(F.col("pivot").alias("a"), F.col("class_id").alias("b")), whole, percent), "star")
     roots = stored(connected_components(star.where("linked").select("a", "b")), "roots")
-    shared = star.select(F.col("a").alias("pivot"), F.col("b").alias("class_id"), "c")
+    shared = star.select(F.col("a").alias("pivot"), F.col("b").alias("class_id"), "met")
     root = roots.select(F.col("node").alias("class_id"), "root")
     home = roots.select(F.col("node").alias("pivot"), F.col("root").alias("home"))
     placed = met.join(sizes, "class_id").join(shared, ["pivot", "class_id"], "left")
     placed = placed.join(root, "class_id", "left").join(home, "pivot", "left")
     placed = placed.withColumn("root", F.coalesce("root", "class_id")).withColumn("home", F.coalesce("home", "pivot"))
-    late = stored(overlaps(open_pairs(placed, whole, percent), whole, percent).where("linked"), "late")
+    late = stored(overlaps(open_pairs(placed, whole, percent), whole, percent).where("linked").select("a", "b"), "late")
     # What is linked already stands for its component, so the second search has few nodes.
     ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
     late = late.join(ends[0], "a", "left").join(ends[1], "b", "left")
