@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blendwise.operators.ordering import id_bucket, running_total, with_tail_copies
+from blendwise.operators.ordering import id_bucket, number_rows, running_total, with_tail_copies
 
 # Seconds per unit.
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 60 * 60, "days": 60 * 60 * 24}
@@ -101,7 +101,9 @@ def with_peak_flops(df: DataFrame, device: str = "device_name", precision: str =
 
 
 def _looking_back(df: DataFrame, run: str, span: int):
-    copied, own = with_tail_copies(df, "iter", span)
+    """Rows with their dense ``_place`` in the run, since ``iter`` may skip numbers or start anywhere."""
+    placed = number_rows(df, [run], ["iter"], "_place", id_bucket(F.col("iter")))
+    copied, own = with_tail_copies(placed, "_place", span)
     return copied, own, Window.partitionBy(run, "_bucket").orderBy("iter")
 
 
@@ -132,14 +134,14 @@ def throughput(df: DataFrame, window: int = 2, run: str = "run") -> DataFrame:
     )
     for name in ("batches_per_sec", "samples_per_sec", "tokens_per_sec"):
         rows = rows.withColumn(name, F.col(f"device_{name}") * F.col("world_size"))
-    return rows.drop("_bucket", "_seconds", "_samples", "_tokens")
+    return rows.drop("_bucket", "_place", "_seconds", "_samples", "_tokens")
 
 
 def rolling_train_loss(df: DataFrame, k: int, window: int = 2, run: str = "run") -> DataFrame:
     """Mean of the last ``k`` losses and its exponential; NULL in the first ``window`` rows of a run."""
     copied, own, order = _looking_back(df, run, max(k - 1, 1))
     mean = F.avg("loss").over(order.rowsBetween(-(k - 1), 0))
-    rows = copied.withColumn("train_loss", F.when(F.col("iter") >= window, mean)).where(own).drop("_bucket")
+    rows = copied.withColumn("train_loss", F.when(F.col("_place") >= window, mean)).where(own).drop("_bucket", "_place")
     return rows.withColumn("train_ppl", F.exp("train_loss"))
 
 
@@ -148,7 +150,7 @@ def compute_rate(df: DataFrame, window: int = 2, run: str = "run") -> DataFrame:
     copied, own, order = _looking_back(df, run, window)
     total = F.sum(F.col("flops") * F.col("world_size")).over(order.rowsBetween(-(window - 1), 0))
     seconds = F.col("elapsed") - F.lag("elapsed", window).over(order)
-    rows = copied.withColumn("flops_per_sec", F.try_divide(total, seconds)).where(own).drop("_bucket")
+    rows = copied.withColumn("flops_per_sec", F.try_divide(total, seconds)).where(own).drop("_bucket", "_place")
     rows = rows.withColumn("device_flops_per_sec", F.col("flops_per_sec") / F.col("world_size"))
     return rows.withColumn("mfu", F.try_divide(F.col("device_flops_per_sec"), F.col("peak_flops")))
 

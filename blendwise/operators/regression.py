@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Model
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ ROUNDS, RATE = 1000, 0.01
 # Rounds of the first fit; each further one has four times as many, until patience ends or ``ROUNDS`` are reached.
 FIRST_ROUNDS = 32
 FIT_SEED = 42
+# Directions in which standardised features vary by less than this share carry no coefficient.
+FLAT = 1e-9
 
 
 def assemble(df: DataFrame, domains: Sequence[str], out: str = "features") -> DataFrame:
@@ -94,15 +98,87 @@ def stop_round(errors: Sequence[float], patience: int = PATIENCE) -> int:
     return best
 
 
-def fit_linear(fit: DataFrame, targets: Sequence[str], regularization: float = 0.0) -> dict[str, Model]:
-    """One linear model per target, for comparison."""
-    return {
-        target: LinearRegression(featuresCol="features", labelCol=target, regParam=regularization).fit(fit)
-        for target in targets
-    }
+@dataclass(frozen=True)
+class LinearModel:
+    """Least-squares fit of one target; ``rank`` counts the independent directions of the centred features."""
 
+    coefficients: tuple[float, ...]
+    intercept: float
+    n: int
+    rank: int
+    squared_error: float
+    squared_total: float
+    features: str = "features"
 
-def predict(model: Model, df: DataFrame) -> DataFrame:
+    @property
+    def r2(self) -> float | None:
+        """Explained share of the squares; None if the target never varies."""
+        return 1 - self.squared_error / self.squared_total if self.squared_total > 0 else None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction``, as a column expression."""
+        weights = F.array(*[F.lit(c) for c in self.coefficients])
+        products = F.zip_with(vector_to_array(self.features), weights, lambda x, c: x * c)
+        return df.withColumn("prediction", F.aggregate(products, F.lit(self.intercept), lambda acc, v: acc + v))
+
+
+def product_sums(df: DataFrame, targets: Sequence[str], features: str = "features") -> DataFrame:
+    """(place, total): sums of all products of (1, features…, targets…), place by place of the flattened matrix.
+
+    One pass for all targets. Each task adds up one matrix, and only these matrices are shuffled. Rows in which
+    the features or a target are NULL or NaN take no part.
+    """
+    values = F.concat(F.array(F.lit(1.0)), vector_to_array(features), F.array(*[F.col(t).cast("double") for t in targets]))
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for frame in frames:
+            z = np.array(frame["z"].tolist(), float)
+            z = z[~np.isnan(z).any(axis=1)]
+            total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            yield pd.DataFrame({"cells": [total.ravel()]})
+
+    known = df.where(F.col(features).isNotNull()).select(values.alias("z"))
+    cells = known.mapInPandas(add, "cells array<double>")
+    return cells.select(F.posexplode("cells").alias("place", "part")).groupBy("place").agg(F.sum("part").alias("total"))
+
+
+def fit_linear(fit: DataFrame, targets: Sequence[str], features: str = "features") -> dict[str, LinearModel]:
+    """One linear model per target by the normal equations, all from one pass over the rows.
+
+    Weights of a mixture add up to one, so their matrix never has full rank: the equations are solved on standardised
+    features by the pseudo-inverse, which leaves the predictions unique. An empty table is an error.
+    """
+    # (1 + features + targets)² numbers, whatever the number of rows.
+    cells = sorted(tuple(row) for row in product_sums(fit, targets, features).collect())
+    if not cells or not cells[0][1]:
+        raise ValueError("no rows to fit")
+    width = round(len(cells) ** 0.5)
+    sums = np.array([total for _, total in cells]).reshape(width, width)
+    n, means = sums[0, 0], sums[0] / sums[0, 0]
+    centred = sums - n * np.outer(means, means)
+    size = np.sqrt(np.clip(np.diag(centred), 0, None))
+    # What is left of a constant column is rounding.
+    size = np.where(size > FLAT * np.sqrt(np.diag(sums)), size, np.inf)
+    unit = centred / np.outer(size, size)
+    d = width - 1 - len(targets)
+    x = slice(1, d + 1)
+    values, vectors = np.linalg.eigh(unit[x, x])
+    kept = values > FLAT * max(1, d)
+    models = {}
+    for i, target in enumerate(targets, d + 1):
+        turned = vectors[:, kept].T @ (centred[x, i] / size[x])
+        slopes = vectors[:, kept] @ (turned / values[kept]) / size[x]
+        total = max(float(centred[i, i]), 0.0)
+        error = max(total - float(turned @ (turned / values[kept])), 0.0)
+        models[target] = LinearModel(
+            tuple(float(c) for c in slopes), float(means[i] - slopes @ means[x]), int(n), int(kept.sum()), error, total, features
+        )
+    return models
+
+
+def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
@@ -133,7 +209,7 @@ def predict_linear(samples: DataFrame, coefficients: DataFrame, intercept: float
     return attach_domains(samples, coefficients, "coefficient").withColumn("prediction", total).drop("_domains")
 
 
-def rmse(model: Model, df: DataFrame, target: str) -> float:
+def rmse(model, df: DataFrame, target: str) -> float:
     return RegressionEvaluator(labelCol=target, metricName="rmse").evaluate(model.transform(df))
 
 

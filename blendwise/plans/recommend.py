@@ -46,11 +46,13 @@ def recommend_mixture(
 ) -> DataFrame:
     """Prior and recommended weight per domain: fit, simulate, average the best, compare.
 
-    The domains are those of the prior, in name order.
+    The domains are those of the prior, in name order. Every row carries how far the model can be trusted: ``rho``, the
+    rank correlation of its predictions on the ``n_scored`` runs kept for scoring (NULL where they never vary).
     """
     # The prior has one row per domain: its names are the feature columns.
     domains = sorted(row.domain for row in prior.select("domain").collect())
-    model, _ = fit_and_score(mix, loss, domains, target, **options)
+    model, score = fit_and_score(mix, loss, domains, target, **options)
     best = reg.top_k(simulate(model, prior, n, seed), k)
     optimum = reg.optimal_mixture(explode_samples(best, prior))
-    return reg.compare_to_prior(prior, optimum)
+    trust = score.select("target", F.col("n").alias("n_scored"), "rho")  # one row
+    return reg.compare_to_prior(prior, optimum).withColumn("target", F.lit(target)).join(F.broadcast(trust), "target", "left")

@@ -86,32 +86,55 @@ def fit_boosted(spark, folder):
     return scored
 
 
+PLACES = ", ".join(f"({i}, '{name}')" for i, name in enumerate(BRANDS))
+WIDTH = len(BRANDS)
+# Least squares in SQL: a sweep over the correlations of all domains and targets, one domain a step. A domain that the
+# earlier ones already explain is passed over, which leaves the predictions as they are.
+LEAST_SQUARES = (
+    MIXTURE,
+    LOSSES,
+    f"""configs AS (SELECT DISTINCT "index" FROM mix JOIN losses USING ("index")),
+        dense AS (SELECT "index", i, coalesce(weight, 0e0) AS x
+                  FROM (SELECT * FROM configs, (VALUES {PLACES}) AS d(i, domain)) LEFT JOIN mix USING ("index", domain)
+                  {"".join(f'UNION ALL SELECT "index", {WIDTH + i}, {t} FROM configs JOIN losses USING ("index") ' for i, t in enumerate(TARGETS))}),
+        centred AS (SELECT "index", i, x - avg(x) OVER (PARTITION BY i) AS x FROM dense),
+        sizes AS (SELECT i, sqrt(sum(x * x)) AS size FROM centred GROUP BY i),
+        means AS (SELECT i, avg(x) AS mean FROM dense GROUP BY i),
+        scaled AS (SELECT "index", i, CASE WHEN size > 1e-9 THEN x / size ELSE 0e0 END AS x FROM centred JOIN sizes USING (i)),
+        cells AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM scaled a JOIN scaled b USING ("index") GROUP BY 1, 2),
+        sweep AS (SELECT 0 AS k, i, j, v FROM cells UNION ALL
+                  SELECT k + 1, i, j, CASE WHEN rest < 1e-8 THEN v WHEN i = k THEN v / rest ELSE v - below * beside / rest END
+                  FROM (SELECT *, max(v) FILTER (WHERE i = k AND j = k) OVER () AS rest,
+                               max(v) FILTER (WHERE i = k) OVER (PARTITION BY j) AS beside,
+                               max(v) FILTER (WHERE j = k) OVER (PARTITION BY i) AS below FROM sweep) WHERE k < {WIDTH}),
+        swept AS (SELECT i, j, v FROM sweep WHERE k = {WIDTH}),
+        used AS (SELECT i FROM swept WHERE i = j AND i < {WIDTH} AND v > 0.5),
+        slopes AS (SELECT i, j, v FROM swept JOIN used USING (i) WHERE j >= {WIDTH}),
+        fitted AS (SELECT "index", j, mean + size * offsets AS prediction
+                   FROM (SELECT "index", j, sum(x * v) AS offsets FROM scaled JOIN slopes USING (i) GROUP BY 1, 2)
+                   JOIN means ON means.i = j JOIN sizes ON sizes.i = j),
+        targets AS (SELECT * FROM (VALUES {", ".join(f"({WIDTH + i}, '{t}')" for i, t in enumerate(TARGETS))}) AS t(j, target))
+    """,
+)
+
+
 @query(
     "r3_fit_linear",
     with_ctes(
-        " UNION ALL ".join(
-            f"""SELECT '{t}' AS target, "index", {r('slope * weight + intercept')} AS prediction
-                FROM one, (SELECT regr_slope({t}, weight) AS slope, regr_intercept({t}, weight) AS intercept FROM one)"""
-            for t in TARGETS
-        ),
-        MIXTURE,
-        LOSSES,
-        """one AS (SELECT "index", weight, discount_loss, price_loss FROM mix JOIN losses USING ("index") WHERE domain = 'Brand#1')""",
+        f"""SELECT target, count(*)::BIGINT AS n, (SELECT count(*) FROM used)::BIGINT AS rank, {r('sqrt(avg((x - prediction) ^ 2))')} AS rmse,
+                   {r('1 - sum((x - prediction) ^ 2) / max(size) ^ 2')} AS r2
+            FROM fitted JOIN dense ON dense."index" = fitted."index" AND dense.i = j JOIN sizes ON sizes.i = j JOIN targets USING (j)
+            GROUP BY target""",
+        *LEAST_SQUARES,
+        recursive=True,
     ),
 )
 def fit_linear(spark, folder):
-    """Linear models on one domain's weight."""
-    wide = weights.to_wide(views.mixtures(spark, folder), BRANDS)
-    joined = history.join_mixture_loss(wide, views.losses(spark, folder))
-    rows = durable(regression.assemble(joined.where(F.col("`Brand#1`").isNotNull()), ["Brand#1"]))
-    models = regression.fit_linear(rows.select("index", "features", *TARGETS), TARGETS)
-    parts = [
-        regression.predict(models[t], rows).select(
-            F.lit(t).alias("target"), "index", rounded("prediction").alias("prediction")
-        )
-        for t in TARGETS
-    ]
-    return parts[0].unionByName(parts[1])
+    """Linear models on all domains and configs: how well each target is explained."""
+    models = regression.fit_linear(table(spark, folder), TARGETS)
+    found = [(t, m.n, m.rank, (m.squared_error / m.n) ** 0.5, m.r2) for t, m in models.items()]
+    rows = spark.createDataFrame(found, "target string, n long, rank long, rmse double, r2 double")
+    return rows.select("target", "n", "rank", rounded("rmse").alias("rmse"), rounded("r2").alias("r2"))
 
 
 FEATURES = ", ".join(f"('{name}')" for name in (*BRANDS, "intercept"))
@@ -140,13 +163,23 @@ def fit_linear_domains(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
-@query("r4_predict")
+@query(
+    "r4_predict",
+    with_ctes(
+        f"""SELECT target, "index", {r('prediction')} AS prediction, {r('x')} AS loss
+            FROM fitted JOIN targets USING (j) JOIN dense USING ("index") WHERE dense.i = j""",
+        *LEAST_SQUARES,
+        recursive=True,
+    ),
+)
 def predict(spark, folder):
     """Linear models on all domains, applied to all configs."""
     rows = durable(table(spark, folder))
     models = regression.fit_linear(rows, TARGETS)
     parts = [
-        regression.predict(models[t], rows).select(F.lit(t).alias("target"), "index", "prediction", F.col(t).alias("loss"))
+        regression.predict(models[t], rows).select(
+            F.lit(t).alias("target"), "index", rounded("prediction").alias("prediction"), rounded(F.col(t)).alias("loss")
+        )
         for t in TARGETS
     ]
     return parts[0].unionByName(parts[1])

@@ -37,6 +37,7 @@ def test_query_without_sql(spark, name):
     if name == "r6_recommend_mixture":
         for kind in ("Human", "Optimal"):
             assert sum(row.weight for row in rows if row.type == kind) == pytest.approx(1, abs=1e-6)
+        assert len({(row.target, row.n_scored, row.rho) for row in rows}) == 1 and -1 <= rows[0].rho <= 1
 
 
 def test_entry(spark):

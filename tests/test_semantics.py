@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -504,6 +505,20 @@ def test_rolling_loss_and_times(spark):
         monitor.time_totals(monitor_rows(spark), "weeks")
 
 
+def test_windows_look_back_over_gaps_in_iterations(spark):
+    """Numbers skipped before, at and far beyond the border of a bucket, and a run that does not start at 0."""
+    iters = [3, 4, 9, 65533, 65534, 65540, 65541, 200_000, 131_072 * 3, 10**7]
+    data = [("r", it, float(k * k), (k + 1) * 4, (k + 1) * 8, 2, float(k), 10.0 + k, 100.0, None) for k, it in enumerate(iters)]
+    gapped = spark.createDataFrame(data, monitor_rows(spark).schema)
+    dense = spark.createDataFrame([("r", k, *row[2:]) for k, row in enumerate(data)], gapped.schema)
+    place = {it: k for k, it in enumerate(iters)}
+    for work in (monitor.throughput, lambda df: monitor.rolling_train_loss(df, 3), monitor.compute_rate):
+        found = {place[r.iter]: r[2:] for r in work(gapped).collect()}
+        assert found == {r.iter: r[2:] for r in work(dense).collect()}
+        assert set(work(gapped).columns).isdisjoint({"_place", "_bucket"})
+    assert {r.iter: r.train_loss for r in monitor.rolling_train_loss(gapped, 3).collect()}[65540] == 4.0
+
+
 def test_device_classes(spark):
     df = spark.createDataFrame(
         [("NVIDIA H100 80GB HBM3", "8-true"), ("NVIDIA H100 PCIe", "32-true"), ("Tesla T4", "bf16-true"), ("v3", "any"), ("x", "32-true")],
@@ -554,6 +569,31 @@ def test_linear_models_are_least_squares(spark):
     y = np.array([r.y for r in table.orderBy("index").collect()])
     wanted, *_ = np.linalg.lstsq(np.array([[1, a, b] for _, a, b in data]), y, rcond=None)
     assert [model.intercept, *model.coefficients] == pytest.approx(wanted.tolist())
+    assert (model.n, model.rank) == (60, 2)
+
+
+def test_weights_that_add_up_to_one_have_unique_predictions(spark):
+    chance = random.Random(3)
+    data = []
+    for i in range(80):
+        shares = [chance.expovariate(1) for _ in range(4)]
+        data.append((i, *[v / sum(shares) for v in shares], 0.0, 1500 + 4 * chance.random() + shares[0], chance.random()))
+    names = ["a", "b", "c", "d", "never"]
+    table = spark.createDataFrame(data, "index long, a double, b double, c double, d double, never double, y double, z double")
+    odd = spark.createDataFrame([(-1, 1.0, 0.0, 0.0, 0.0, 0.0, None, 1.0), (-2, 1.0, 0.0, 0.0, 0.0, 0.0, float("nan"), 1.0)], table.schema)
+    whole = regression.assemble(table, names).repartition(5)
+    models = regression.fit_linear(whole.unionByName(regression.assemble(odd, names)), ["y", "z"])
+    x = np.array([[1, *row[1:6]] for row in data])
+    for place, target in ((6, "y"), (7, "z")):
+        y = np.array([row[place] for row in data])
+        wanted = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        found = [r.prediction for r in models[target].transform(whole).orderBy("index").collect()]
+        assert found == pytest.approx(wanted.tolist(), abs=1e-9)
+        assert (models[target].n, models[target].rank) == (80, 3)
+        assert models[target].squared_error == pytest.approx(((y - wanted) ** 2).sum(), rel=1e-6)
+        assert models[target].r2 == pytest.approx(1 - ((y - wanted) ** 2).sum() / ((y - y.mean()) ** 2).sum(), rel=1e-6)
+    with pytest.raises(ValueError, match="no rows"):
+        regression.fit_linear(whole.limit(0), ["y"])
 
 
 def test_boosting_ranks_unseen_mixtures(spark):
@@ -620,7 +660,7 @@ def test_residual_products_show_domains_left_out_of_a_fit(spark):
     whole = regression.assemble(df, ["a", "b"])
     for names, zero in ((["a", "b"], True), (["a"], False)):
         model = regression.fit_linear(regression.assemble(df, names), ["loss"])["loss"]
-        scored = model.setFeaturesCol("some").transform(regression.assemble(whole, names, "some"))
+        scored = replace(model, features="some").transform(regression.assemble(whole, names, "some"))
         got = {r.feature: r for r in regression.residual_products(scored, "loss", ["a", "b"]).collect()}
         assert set(got) == {"a", "b", "intercept"} and all(r.n == 60 for r in got.values())
         assert (abs(got["b"].residual) < 1e-9) == zero
