@@ -1,6 +1,10 @@
 """Quality by positive-unlabelled learning.
 
-A small network on text statistics minimises the non-negative unbiased risk: trusted positives stand for good text,
+The class prior, the share of good documents in unlabelled text, is estimated from positives and unlabelled text alone: a
+network told to tell the two apart scores parts of both it was not fitted on, and above the best threshold the share
+of unlabelled texts over that of positives is the prior (best bin estimate). No negative label is ever used.
+
+A small network on text statistics then minimises the non-negative unbiased risk: trusted positives stand for good text,
 unlabelled web text for the mixture of good and bad, and the class prior says how much of it is good. The risk of
 the unlabelled part less that of its positive share estimates the risk on bad text; where it would turn negative, the
 step goes back instead of overfitting.
@@ -25,6 +29,9 @@ STEPS = 3000
 BATCH = 512
 RATE = 0.005
 DEFAULT_PRIOR = 0.5
+PRIOR_STEPS = 1000
+PRIOR_BOUNDS = (0.01, 0.99)
+CONFIDENCE, SLACK = 0.1, 0.01  # of the best bin estimate
 MARK = re.compile(r"[^\w\s.,;:'’\"()!?-]")
 FEATURES = 18
 
@@ -83,8 +90,8 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityModel:
-    """Minimise prior·R⁺(P) + max(0, R⁻(U) − prior·R⁻(P)) with the sigmoid loss, by Adam on batches."""
+def _descend(positive: np.ndarray, unlabelled: np.ndarray, steps: int, slopes) -> QualityModel:
+    """Adam on batches of as many positives as unlabelled rows; ``slopes(scores)`` is the risk's slope by logit."""
     rng = np.random.default_rng(0)
     both = np.concatenate([positive, unlabelled])
     center, scale = both.mean(0), both.std(0) + 1e-3
@@ -96,24 +103,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityMo
     ]
     first, second = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers]
     p_all, u_all = (positive - center) / scale, (unlabelled - center) / scale
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         p = p_all[rng.integers(0, len(p_all), BATCH)]
         u = u_all[rng.integers(0, len(u_all), BATCH)]
         x = np.concatenate([p, u])
         hidden = np.tanh(x @ layers[0] + layers[1])
-        s = 1 / (1 + np.exp(-np.clip(hidden @ layers[2] + layers[3], -30, 30)))
-        slope = s * (1 - s)  # loss of calling a positive bad is 1 - s, of calling a negative good s
-        bad = s[BATCH:].mean() - prior * s[:BATCH].mean()
-        g = np.zeros(len(x))
-        if bad >= 0:
-            g[:BATCH] = -prior * slope[:BATCH] / BATCH - prior * slope[:BATCH] / BATCH
-            g[BATCH:] = slope[BATCH:] / BATCH
-        else:
-            g[:BATCH] = prior * slope[:BATCH] / BATCH
-            g[BATCH:] = -slope[BATCH:] / BATCH
+        g = slopes(1 / (1 + np.exp(-np.clip(hidden @ layers[2] + layers[3], -30, 30))))
         back = np.outer(g, layers[2]) * (1 - hidden * hidden)
         grads = [x.T @ back, back.sum(0), hidden.T @ g, g.sum()]
-        rate = RATE * (1 - step / STEPS)
+        rate = RATE * (1 - step / steps)
         for i, grad in enumerate(grads):
             grad = grad + 1e-4 * layers[i]
             first[i] = 0.9 * first[i] + 0.1 * grad
@@ -124,6 +122,45 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityMo
     return QualityModel(center, scale, layers)
 
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityModel:
+    """Minimise prior·R⁺(P) + max(0, R⁻(U) − prior·R⁻(P)) with the sigmoid loss."""
+
+    def slopes(s: np.ndarray) -> np.ndarray:
+        slope = s * (1 - s)  # loss of calling a positive bad is 1 - s, of calling a negative good s
+        bad = s[BATCH:].mean() - prior * s[:BATCH].mean()
+        g = np.zeros(len(s))
+        if bad >= 0:
+            g[:BATCH] = -prior * slope[:BATCH] / BATCH - prior * slope[:BATCH] / BATCH
+            g[BATCH:] = slope[BATCH:] / BATCH
+        else:
+            g[:BATCH] = prior * slope[:BATCH] / BATCH
+            g[BATCH:] = -slope[BATCH:] / BATCH
+        return g
+
+    return _descend(positive, unlabelled, STEPS, slopes)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in the unlabelled rows, by the best bin.
+
+    A network separates one half of each from the other by the logistic loss; the other halves are scored. Above any
+    threshold, the share of unlabelled rows over the share of positives is at least the prior, and comes near it where no
+    bad row scores; the threshold with the lowest upper confidence bound is taken. With fewer than two rows of either
+    kind it is ``DEFAULT_PRIOR``; the result stays within ``PRIOR_BOUNDS``.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return DEFAULT_PRIOR
+    told = np.concatenate([np.ones(BATCH), np.zeros(BATCH)])
+    model = _descend(positive[::2], unlabelled[::2], PRIOR_STEPS, lambda s: (s - told) / BATCH)
+    p, u = np.sort(model.logits(positive[1::2])), np.sort(model.logits(unlabelled[1::2]))
+    # Share of each part that scores at least as high as each positive.
+    above_p = 1 - np.searchsorted(p, p, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    spread = np.sqrt(np.log(4 / CONFIDENCE) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = np.argmin((above_u + (1 + SLACK) * spread) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], *PRIOR_BOUNDS))
+
+
 def _measured(rows: DataFrame, schema: str) -> DataFrame:
     """(first column, statistics) for rows of (key, text)."""
 
@@ -147,15 +184,14 @@ def train(
 ) -> QualityModel | float:
     """Fit on documents (doc_id, text) and labels (doc_id, quality), both of the learning part only.
 
-    Samples hold about these numbers of documents, chosen by hash of the id, each id once. The prior is the share of good ones among
-    all labelled documents; without bad ones among them it is ``DEFAULT_PRIOR``. Without positives or unlabelled
-    documents there is nothing to learn and the result is the prior itself.
+    Samples hold about these numbers of documents, chosen by hash of the id, each id once. Labels only say which
+    documents are trusted as good; the prior comes from ``estimate_prior``. Without positives or unlabelled documents there
+    is nothing to learn and the result is ``DEFAULT_PRIOR``, the score of every text.
     """
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    shares = {r.q: r["count"] for r in marks.groupBy("q").count().collect()}
-    prior = shares.get(1, 0) / sum(shares.values()) if shares.get(0) and shares.get(1) else DEFAULT_PRIOR
+    n_trusted = marks.where("q = 1").count()
     texts = learn.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    trusted = marks.where("q = 1").where(in_sample(F.col("doc_id"), min(1, positives / max(1, shares.get(1, 0)))))
+    trusted = marks.where("q = 1").where(in_sample(F.col("doc_id"), min(1, positives / max(1, n_trusted))))
     good = texts.join(F.broadcast(trusted.select("doc_id")), "doc_id")  # about ``positives`` ids
     web = texts.where(in_sample(F.col("doc_id"), min(1, unlabelled / max(1, learn.count()))))
     web = web.join(marks.select("doc_id"), "doc_id", "left_anti")
@@ -165,7 +201,7 @@ def train(
         np.array([r.x for r in sorted(_measured(rows, "k long, x array<float>").collect(), key=lambda r: (r.k, r.x))])
         for rows in (good, web)
     )
-    return fit(p, u, prior) if len(p) and len(u) else prior
+    return fit(p, u, estimate_prior(p, u)) if len(p) and len(u) else DEFAULT_PRIOR
 
 
 def score(docs: DataFrame, model: QualityModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

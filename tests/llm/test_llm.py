@@ -420,10 +420,28 @@ def test_windows_cover_every_word_and_overlap():
         assert all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
 
 
+@pytest.mark.parametrize("prior", [0.05, 0.3, 0.5, 0.8, 0.97])
+def test_prior_of_a_known_mixture(prior):
+    rng = np.random.default_rng(7)
+    good = lambda n: rng.normal(0.7, 1, (n, quality.FEATURES))
+    web = np.concatenate([good(int(8000 * prior)), rng.normal(-0.7, 1, (8000 - int(8000 * prior), quality.FEATURES))])
+    assert quality.estimate_prior(good(3000), rng.permutation(web)) == pytest.approx(prior, abs=0.05)
+
+
+def test_prior_without_enough_rows():
+    x = np.zeros((1, quality.FEATURES))
+    assert quality.estimate_prior(x, np.zeros((9, quality.FEATURES))) == quality.DEFAULT_PRIOR
+    assert quality.estimate_prior(x[:0], x[:0]) == quality.DEFAULT_PRIOR
+    assert 0 < quality.estimate_prior(np.zeros((6, quality.FEATURES)), np.zeros((6, quality.FEATURES))) <= 1
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = corpus(spark)
     learn = fold(3) != 1
     model = quality.train(docs.where(learn), labels.where(learn))
+    flipped = labels.withColumn("quality", F.when(F.col("quality") == 1, 1))  # bad labels are not looked at
+    again = quality.train(docs.where(learn), flipped.where(learn))
+    assert abs(quality.score(docs, again).where("score >= 0.5").count() - quality.score(docs, model).where("score >= 0.5").count()) < 100
     held = docs.where(fold(3) == 1)
     found = quality.score(held, model).join(labels, "doc_id").collect()
     assert np.mean([(r.score >= 0.5) == bool(r.quality) for r in found]) > 0.97
