@@ -210,10 +210,10 @@ PLACE = """pos, domain, nth::BIGINT AS nth, epoch::BIGINT AS epoch, block_seq::B
 PLACED = ("pos", "domain", "nth", "epoch", "block_seq", "shard", "chunk_no", "block_no")
 
 
-def draws(spark, folder, start: int = 0):
+def draws(spark, folder, start: int = 0, level: int = 1):
     blocks = block_list(spark, folder)
     n = blocks.count()
-    return sampling.mixture_sample(numbered_blocks(blocks), wanted(spark, folder), n - start, SEED, start)
+    return sampling.mixture_sample(numbered_blocks(blocks), wanted(spark, folder), n - start, SEED, start, level)
 
 
 @query("j4_draw_blocks", with_ctes(f"SELECT {PLACE} FROM sampled", *BASE))
@@ -252,17 +252,20 @@ def mixture_sample_resumed(spark, folder):
 @query(
     "b5_group_sample",
     with_ctes(
-        f"""SELECT p.pos AS pos, d.domain AS domain, (p.pos // {MICRO})::BIGINT AS batch
-            FROM positions AS p JOIN draws AS d ON d.pos = p.pos // {MICRO}""",
+        f"""SELECT pos, g.domain AS domain, (pos // {MICRO})::BIGINT AS batch, (nth // available)::BIGINT AS epoch,
+                   shard::BIGINT AS shard, chunk_no::BIGINT AS chunk_no, block_no::BIGINT AS block_no
+            FROM grouped AS g JOIN sizes ON sizes.domain = g.domain
+                 JOIN numbered AS b ON b.domain = g.domain AND b.block_seq = nth % available""",
         *BASE,
+        f"""grouped AS (SELECT p.pos AS pos, d.domain AS domain, row_number() OVER (PARTITION BY d.domain ORDER BY p.pos) - 1 AS nth
+                        FROM positions AS p JOIN draws AS d ON d.pos = p.pos // {MICRO})""",
     ),
 )
 def group_sample(spark, folder):
-    """One domain per micro-batch."""
-    n = block_list(spark, folder).count()
-    positions = spark.range(n).withColumnRenamed("id", "pos")
-    drawn = sampling.draw_domains(positions, wanted(spark, folder), level=MICRO)
-    return drawn.select("pos", "domain", F.floor(F.col("pos") / MICRO).alias("batch"))
+    """One domain per micro-batch, whose positions take the next blocks of that domain."""
+    batch = F.floor(F.col("pos") / MICRO).alias("batch")
+    keys = [F.col(c).cast("long").alias(c) for c in ("epoch", "shard", "chunk_no", "block_no")]
+    return draws(spark, folder, level=MICRO).select("pos", "domain", batch, *keys)
 
 
 @query(
