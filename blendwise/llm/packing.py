@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +39,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of whole texts, one white-space chunk at a time with a memory of chunks seen before.
+    """Ids of whole texts, by their distinct white-space chunks and a memory of chunks seen before.
 
     The tokenizer's own rules never join characters across white space, ignore case and drop white space, so the
-    ids of a text are those of its chunks. Plain words, with or without marks after them, need none of its
-    normalising and splitting and go to its merge model directly; all others take the whole way. Strings of special
-    tokens are ordinary text.
+    ids of a text are those of its chunks. Marks after a letter are chunks of their own. Plain words need none of its
+    normalising and splitting: new ones go to its merge model thousands at a time, in one line, and are told apart by
+    the tokens that end a word. All others take the whole way. Strings of special tokens are ordinary text. Arrow
+    splits the texts and numbers their chunks, so that each is an object of Python but once in a batch.
     """
 
     KEEP = 150_000  # chunks of a generation; the one before it is kept too
-    MARKS = b".,;:!?"
+    MARKS = "([a-z])([.,;:!?])"  # between a letter and a mark the tokenizer always splits
+    LINE = 4096  # words that go to the model together
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -55,58 +58,91 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = self.tokenizer.model.tokenize
-        self.spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = [chr(c) for c in range(0x80, 0x180)]
+        self.spelling = {byte: sign for c in letters for byte, sign in zip(c.encode(), spelled(c)[0][0])}
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if size <= 1 << 16 else "I"
         self.end = np.array([END_ID], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.past: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.past: dict[str, bytes] = {}
 
     def _model(self, piece: str) -> bytes:
         found = self.pieces(piece)
         return struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
 
-    def _chunk(self, chunk: bytes) -> bytes | None:
-        """Ids of a plain word with marks; None for anything else."""
-        word = chunk.rstrip(self.MARKS)
-        ids = self.known.get(word) or self.past.get(word)
-        if ids is None:
-            if word.isalpha():  # ASCII letters: spelled as they are
-                ids = self._model(word.decode())
-            else:
-                text = word.decode()
-                low = text.lower()
-                # Single letters up to U+017F have one lower-case form and nothing to compose.
-                if not text.isalpha() or max(text) >= "\u0180" or not low.isalpha() or len(low) != len(text):
-                    return None
-                ids = self._model(self.spelled(low)[0][0])
-            self.known[word] = ids
-        if len(word) < len(chunk):
-            marks = chunk[len(word) :]
-            tail = self.known.get(marks)
-            if tail is None:
-                tail = self.known[marks] = self._model(marks.decode())
-            ids = self.known[chunk] = ids + tail
-        return ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
-        new = set().union(*chunks)
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Whether a chunk is all letters that the tokenizer leaves in one piece."""
+        if not word.isalpha() or max(word) >= "\u0180":
+            return False
+        low = word.lower()  # single letters up to U+017F have one lower-case form and nothing to compose
+        return low.isalpha() and len(low) == len(word)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Add the ids of plain words."""
+        for at in range(0, len(words), self.LINE):
+            part = words[at : at + self.LINE]
+            line = " ".join(part)
+            if not line.isascii():
+                line = line.lower().encode().decode("latin-1").translate(self.spelling)
+            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # the vocabulary does not mark the end of each word
+                self.known.update((w, self._model(piece)) for w, piece in zip(part, line.split(" ")))
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, (ends * self.kind.itemsize).tolist()):
+                self.known[word] = data[start:end]
+                start = end
+
+    def _learn(self, new: list[str]) -> None:
+        self._learn_words([c for c in new if c.isascii() and c.isalpha()])
+        rest = [c for c in new if not (c.isascii() and c.isalpha())]
+        plain = [c for c in rest if self._plain(c)]
+        self._learn_words(plain)
+        hard = list(set(rest).difference(plain))
+        for at in range(0, len(hard), self.LINE):
+            part = hard[at : at + self.LINE]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            for chunk, encoding in zip(part, found):
+                self.known[chunk] = struct.pack(f"<{len(encoding.ids)}{self.code}", *encoding.ids)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        if isinstance(texts, list):
+            texts = pa.array([t and t.encode("utf-8", "replace").decode() for t in texts], pa.string())
+        lower = pc.replace_substring_regex(pc.ascii_lower(texts), self.MARKS, r"\1 \2")
+        chunks = pc.ascii_split_whitespace(lower)
+        coded = pc.dictionary_encode(chunks.flatten())
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.KEEP:  # what is used again moves on to the next generation
-            self.past, self.known = self.known, {}
+            self.past, self.known = self.known, {"": b""}
         known, past = self.known, self.past
-        new = new.difference(known)
+        new = [c for c in each if c not in known]
         if past:
             known.update((c, past[c]) for c in new if c in past)
-            new = new.difference(past)
-        hard = [c for c in new if self._chunk(c) is None]
-        for at in range(0, len(hard), 4096):
-            part = hard[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            for chunk, encoding in zip(part, found):
-                known[chunk] = struct.pack(f"<{len(encoding.ids)}{self.code}", *encoding.ids)
-        return [b"".join(map(known.__getitem__, doc)) + self.end for doc in chunks]
+            new = [c for c in new if c not in past]
+        self._learn(new)
+        found = [known[c] for c in each]
+        bank = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        places = coded.indices.to_numpy()
+        lengths = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        starts = (np.cumsum(sizes) - sizes)[places]
+        data = bank[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        words = np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy())
+        cuts = [0, *(ends[words] * self.kind.itemsize).tolist()]
+        return [data[a:b] + self.end for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.cache
@@ -132,7 +168,7 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             return int(first) << 32 | int(rest.max() if len(rest) else first)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            coded = encoder.encode(batch.column(2).to_pylist())
+            coded = encoder.encode(batch.column(2))
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -242,6 +242,30 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack_documents(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer_whatever_came_before():
+    encoder = packing.Encoder(packing.tokenizer_path())
+    texts = ["# % & $ - it's 3d naïve", "#. %, &! $; -. It's. 3D, naïve! Straße? e.g. a.b 's. ..., ÄÖ: ﬁn x². \x1f \u00a0."] + ["", None, " "]
+    encoder.encode(["#", "%", "&", "$", "-"])
+    for text, found in [(t, encoder.encode([t])[0]) for t in texts] + list(zip(texts, encoder.encode(texts))):
+        wanted = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(found, encoder.kind).tolist() == [*wanted, packing.END_ID]
+    assert encoder.encode([]) == []
+
+
+def test_ids_without_word_ends_in_the_vocabulary(monkeypatch):
+    encoder = packing.Encoder(packing.tokenizer_path())
+    wanted = encoder.encode(["plain wörds only"])
+    other = packing.Encoder(packing.tokenizer_path())
+    other.last[:] = False
+    assert other.encode(["plain wörds only"]) == wanted
+
+
+def test_bucket_rows_do_not_repeat_the_work_of_a_set(spark):
+    sets = spark.createDataFrame([(1, 9, 9, 9, 0, [(2, 5), (3, 7)])], f"class_id long, n long, m long, na long, own long, front {jaccard.FRONT}")
+    plan = jaccard.buckets(sets, 100, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(" in plan and "aggregate(" not in plan[: plan.rindex("Generate explode(")]
+
+
 def test_bm25_ranks_like_the_formula():
     rng = np.random.default_rng(0)
     ids = [rng.integers(0, 30, n).astype(np.uint16) for n in (5, 20, 40, 7, 13)]
