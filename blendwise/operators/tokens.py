@@ -14,6 +14,7 @@ from blendwise.functions.text import BOS, EOS, SPECIALS, framed, words
 from blendwise.session import durable
 
 VOCABULARY_BYTES = 64 << 20  # up to which a vocabulary is sent to the tasks
+TOKENS_AT_ONCE = 1 << 19  # that a worker works on, besides the batch that Spark sends
 
 
 def with_domain(df: DataFrame, path: str = "path") -> DataFrame:
@@ -56,12 +57,51 @@ def build_vocab(df: DataFrame, max_size: int, tokens: str = "tokens") -> DataFra
     return marks.unionByName(numbered)
 
 
+def token_slices(batches, column: int, most: int | None = None):
+    """The rows of the batches in slices of at most ``most`` tokens in a list column, or of one row.
+
+    A batch may hold thousands of long documents. What is made of a slice is gone before the next one, and a batch
+    before the next is read, so that a worker holds little besides the batch itself.
+    """
+    most = most or TOKENS_AT_ONCE
+    for batch in batches:
+        ends = batch.column(column).offsets.to_numpy()
+        first = 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(ends, int(ends[first]) + most, "right")) - 1
+            last = min(max(last, first + 1), batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
+        del batch, ends
+
+
+def _encoder(sent, others: list[str], out: str, unk: int):
+    """Look up the tokens, in the column after the others, in the vocabulary that was sent (token, id)."""
+
+    def encoded(batch, known, ids):
+        lists = batch.column(len(others))
+        place = pc.index_in(lists.flatten(), value_set=known, skip_nulls=True)
+        found = pa.array(ids[place.fill_null(len(known)).to_numpy()])
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())).astype(np.int32)
+        coded = pa.ListArray.from_arrays(pa.array(ends), found, mask=lists.is_null())
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(others)], coded], [*others, out])
+
+    def run(batches):
+        known = sent.value["token"].combine_chunks()
+        ids = np.append(sent.value["id"].to_numpy(), unk).astype(np.int32)
+        for batch in token_slices(batches, len(others)):
+            yield encoded(batch, known, ids)
+            del batch
+
+    return run
+
+
 def encode_ids(
     df: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", unk: int = 0, limit: int = VOCABULARY_BYTES
 ) -> DataFrame:
     """The rows with ``out``, an array<int>, in place of ``tokens``; unknown tokens become ``unk``.
 
-    A vocabulary of at most ``limit`` bytes goes to the tasks, and each batch is encoded by one vectorised lookup: rows
+    A vocabulary of at most ``limit`` bytes goes to the tasks, and rows are encoded many at a time by a vectorised lookup: they
     stay where they are and no token is shuffled. A larger one is joined on the token. NULL arrays stay NULL.
     """
     vocab = durable(vocab.select("token", F.col("id").cast("int").alias("id")))
@@ -71,19 +111,8 @@ def encode_ids(
     sent = df.sparkSession.sparkContext.broadcast(vocab.toArrow().combine_chunks())
     others = [c for c in df.columns if c != tokens]
 
-    def run(batches):
-        known = sent.value["token"].combine_chunks()
-        ids = np.append(sent.value["id"].to_numpy(), unk).astype(np.int32)
-        for batch in batches:
-            lists = batch.column(len(others))
-            place = pc.index_in(lists.flatten(), value_set=known, skip_nulls=True)
-            found = pa.array(ids[place.fill_null(len(known)).to_numpy()])
-            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())).astype(np.int32)
-            encoded = pa.ListArray.from_arrays(pa.array(ends), found, mask=lists.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], encoded], [*others, out])
-
     fields = [df.schema[c] for c in others] + [StructField(out, ArrayType(IntegerType()))]
-    return df.select(*others, tokens).mapInArrow(run, StructType(fields))
+    return df.select(*others, tokens).mapInArrow(_encoder(sent, others, out, unk), StructType(fields))
 
 
 def _encode_by_join(df: DataFrame, vocab: DataFrame, tokens: str, out: str, unk: int) -> DataFrame:

@@ -3,8 +3,10 @@
 import math
 import random
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -229,6 +231,18 @@ def test_ids_by_join(spark):
     assert found == {0: [4, 3, 4], 1: [], 2: [0, 3], 3: None}
 
 
+def test_ids_are_made_in_slices_of_a_batch(monkeypatch):
+    monkeypatch.setattr(tokens, "TOKENS_AT_ONCE", 10)
+    texts = [None if i % 7 == 0 else ["a", "b", "x"] * (i % 6) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    sent = SimpleNamespace(value=pa.table({"token": ["a", "b"], "id": pa.array([3, 4], pa.int32())}))
+    found = list(tokens._encoder(sent, ["doc_id"], "ids", 0)([batch, batch.slice(5, 20)]))
+    assert all(b.num_rows == 1 or sum(len(x or ()) for x in b.column(1).to_pylist()) <= 10 for b in found)
+    ids = [None if t is None else [{"a": 3, "b": 4}.get(w, 0) for w in t] for t in texts]
+    assert [x for b in found for x in b.column(1).to_pylist()] == ids + ids[5:25]
+    assert [x for b in found for x in b.column(0).to_pylist()] == [*range(40), *range(5, 25)]
+
+
 # --- packing ---------------------------------------------------------------------------------------------------
 
 
