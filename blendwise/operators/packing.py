@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from blendwise.operators.ordering import join_same
+from blendwise.operators.tokens import token_slices
 from blendwise.session import durable, written
 
 # Fixed values of the method: a block is 2048 tokens plus the next one.
@@ -61,7 +62,7 @@ def _cutter(n_group: int, chunk_size: int, names: Sequence[str]):
             rows, waiting = [], 0
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        for batch in token_slices(batches, n_group + 2):
             kinds = [column.type for column in batch.columns[:n_group]]
             keys = list(zip(*[column.to_pylist() for column in batch.columns[: n_group + 2]]))
             lists = batch.column(n_group + 2)
