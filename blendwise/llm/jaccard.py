@@ -271,14 +271,16 @@ def buckets(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     keys = F.when(light & near, F.concat(subsets, single)).when(light, subsets).otherwise(single)
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
     frequent = F.aggregate(f, F.lit(0.0), lambda a, e: a + F.log(e["f"].cast("double"))) / F.size(f)
-    # A few wide rows make many: spread them over all tasks first.
+    # A few wide rows make many: spread them over all tasks first. What a set has once is made before the rows are
+    # multiplied; beside ``explode`` in one select it would be made anew, from the whole prefix, for each of them.
     rows = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class_id").select(
         "class_id",
         (F.col("own") / F.greatest("na", F.lit(1))).alias("own"),
         (-frequent).alias("rare"),
-        F.explode(F.array_distinct(keys)).alias("key"),
+        F.array_distinct(keys).alias("keys"),
         band.alias("band"),
     )
+    rows = rows.select("class_id", "own", "rare", "band", F.explode("keys").alias("key"))
     rows = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     return rows.select(F.xxhash64("key", "band").alias("bucket"), "class_id", "own", "rare")
 
