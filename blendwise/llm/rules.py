@@ -27,7 +27,7 @@ WORD_LIMIT = 0.45
 SMALL = 4096  # languages up to which the references are broadcast: at most 32 MB
 
 BLANK = r"[\x20\x09-\x0D]+"
-#: Kinds of characters, taken off one after another; what is left counts as ``other``.
+#: Kinds of characters, each without those of the kinds before it; what is left counts as ``other``.
 KINDS = (
     ("lower", "[a-z]+"),
     ("upper", "[A-Z]+"),
@@ -45,17 +45,30 @@ def words_of(text: Column) -> Column:
 
 
 def kinds_of(text: Column) -> Column:
-    """array<long> of the number of characters of each kind, ``other`` last."""
+    """array<long> of the number of characters of each kind, ``other`` last.
 
-    def count(rest: Column, left: tuple, found: list[Column]) -> Column:
+    Blanks are counted by plain replacement. Runs of lower-case letters and blanks, most of a text, then go at one
+    stroke, and only what they leave is taken apart kind by kind.
+    """
+    small = "".join(pattern[1:-2] for name, pattern in KINDS if name in ("lower", "blank"))
+
+    def first(rest: Column) -> Column:
+        unspaced = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))
+        blanks = (F.length(text) - F.length(unspaced)).cast("long")
+        lower = lambda b: (F.length(text) - F.length(rest)).cast("long") - b
+        return let(blanks, lambda b: count(rest, KINDS[1:], [lower(b)], b))
+
+    def count(rest: Column, left: tuple, found: list[Column], blanks: Column) -> Column:
         if not left:
             return F.array(*found, F.length(rest).cast("long"))
+        if left[0][0] == "blank":
+            return count(rest, left[1:], [*found, blanks], blanks)
         return let(
             F.regexp_replace(rest, left[0][1], ""),
-            lambda less: count(less, left[1:], [*found, (F.length(rest) - F.length(less)).cast("long")]),
+            lambda less: count(less, left[1:], [*found, (F.length(rest) - F.length(less)).cast("long")], blanks),
         )
 
-    return count(text, KINDS, [])
+    return let(F.regexp_replace(text, f"[{small}]+", ""), first)
 
 
 def repeated_words(words: Column) -> Column:
@@ -151,8 +164,18 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def common_counts(words: Column, common: Column) -> Column:
-    """How often each common word stands among the words, and last how often any other does."""
-    places = F.filter(F.transform(words, lambda w: F.array_position(common, w)), lambda i: i > 0)
+    """How often each common word stands among the words, and last how often any other does.
+
+    Words with more bytes than the longest common one are not looked up.
+    """
+    longest = F.array_max(F.transform(common, lambda c: F.octet_length(c)))
+    places = let(
+        longest,
+        lambda most: F.filter(
+            F.transform(F.filter(words, lambda w: F.octet_length(w) <= most), lambda w: F.array_position(common, w)),
+            lambda i: i > 0,
+        ),
+    )
     return let(
         places,
         lambda found: F.array(
